@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, line_dedup, mixing, packing
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_mixing": mixing.op8_mixing,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE = {
     "op5_exact_dedup": exact_dedup.SQL,
+    "op10_line_dedup": line_dedup.SQL,
 }
