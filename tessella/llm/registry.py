@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, ngram_join, packing
+from . import exact_dedup, line_dedup, mixing, ngram_join, packing, substring_dedup
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op8_mixing": mixing.op8_mixing,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE = {
     "op5_exact_dedup": exact_dedup.SQL,
     "op6_ngram_jaccard_join": ngram_join.SQL,
+    "op9_substring_dedup": substring_dedup.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
