@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, substring_dedup
+from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, pii, substring_dedup
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_language_id": language_id.op3_language_id,
+    "op4_pii": pii.op4_pii,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op8_mixing": mixing.op8_mixing,
