@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, pii, quality, substring_dedup
+from . import exact_dedup, html_extract, language_id, line_dedup, mixing, ngram_join, packing, pii, quality, substring_dedup
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_html_extraction": html_extract.op2_html_extraction,
     "op3_language_id": language_id.op3_language_id,
     "op4_pii": pii.op4_pii,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
