@@ -2,9 +2,9 @@
 
 Rare-first prefix filtering: every set is put in one global order (rarest n-gram first), and two sets
 that are similar enough must share one of the first |x| - ceil(t|x|) + 1. Document frequencies are
-exact and cover the corpus: all n-grams meet once by hash. An n-gram of one document can't be shared,
-so only its number goes on, as the head of its document's order; most documents have prefixes of
-nothing else and leave at this point. The rest meet on prefix n-grams, pass length and positional
+exact and cover the corpus: all n-grams meet once by hash. An n-gram that no other document of a
+fitting length has can't be shared, so only its number goes on, as the head of its document's order;
+most documents have prefixes of nothing else and leave at this point. The rest meet on prefix n-grams, pass length and positional
 filters, are reduced to one row a pair, and are verified once, behind a suffix filter.
 
 Documents with equal sets are one class. The result names a class by its least doc_id: a row
@@ -109,8 +109,9 @@ def _read(batches: Iterator[pa.RecordBatch], extra: bool = False):
     return tuple(np.concatenate(x) if x else None for x in parts)
 
 
-def _shared_grams(docs: DataFrame, n: int, count: int) -> DataFrame:
-    """Per class (by partition of its key): the n-grams that other classes have too, with the number that do."""
+def _shared_grams(docs: DataFrame, n: int, t: float, count: int) -> DataFrame:
+    """Per class (by partition of its key): the n-grams that other classes of a fitting length have too,
+    with the number of classes that have them."""
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -140,14 +141,19 @@ def _shared_grams(docs: DataFrame, n: int, count: int) -> DataFrame:
         length = np.diff(at)
         order = order[np.repeat(length > 1, length)]
         key, size, g = key[order], size[order], g[order]
-        order = np.lexsort((key, g))  # copies of a class count once
+        order = np.lexsort((key, size, g))  # copies of a class count once
         key, size, g = key[order], size[order], g[order]
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1])
         key, size, g = key[new], size[new], g[new]
         length = np.diff(group_bounds(g))
         df = np.repeat(length, length)
-        many = df > 1
+        # whom no class of a fitting length shares the n-gram with, may as well be alone with it; the
+        # nearest lengths are the neighbours in this order
+        fits = (g[1:] == g[:-1]) & (size[:-1] >= t * size[1:] - 1e-9)
+        many = np.zeros(len(g), bool)
+        many[1:] |= fits
+        many[:-1] |= fits
         key, size, g, df = key[many], size[many], g[many], df[many]
         order = np.argsort(key, kind="stable")
         key, size, g, df = key[order], size[order], g[order], np.minimum(df[order], 65535)
@@ -345,7 +351,7 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     members = written(docs.mapInArrow(classes, "doc_id bigint, key bigint, size bigint").where("size > 0"), "ngram-members")
     names = members.groupBy("key").agg(F.min("doc_id").alias("least"))
     equal = members.join(names, "key").where("doc_id > least").select(F.col("least").alias("doc_id"), F.col("doc_id").alias("match_id"), F.lit(1.0).alias("jaccard")).distinct()
-    sets = _candidates_of(_shared_grams(docs, n, count), threshold)
+    sets = _candidates_of(_shared_grams(docs, n, threshold, count), threshold)
     pairs = _candidate_pairs(sets, threshold, count)
     near = _verified(pairs, sets, threshold, count)
     near = near.join(names.select(F.col("key").alias("a"), F.col("least").alias("x")), "a").join(names.select(F.col("key").alias("b"), F.col("least").alias("y")), "b")
