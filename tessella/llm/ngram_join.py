@@ -191,7 +191,7 @@ def _candidates_of(shared: DataFrame, t: float) -> DataFrame:
     return written(shared.mapInArrow(order_sets, "key bigint, size bigint, head bigint, grams binary"), "ngram-classes")
 
 
-_PREFIX = np.dtype([("g", "<u8"), ("key", "<i8"), ("size", "<u4"), ("pos", "<u4")])
+_PREFIX = np.dtype([("g", "<u8"), ("before", "<u8"), ("key", "<i8"), ("size", "<u4"), ("pos", "<u4")])  # before: the n-gram one place earlier, 0 at the start
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 
 
@@ -207,9 +207,12 @@ def _unique_pairs(rec: np.ndarray) -> np.ndarray:
 
 
 def prefix_pairs(rec: np.ndarray, t: float) -> Iterator[np.ndarray]:
-    """Pairs of classes that share a prefix n-gram and pass the length and positional filters."""
+    """Pairs of classes that share a prefix n-gram and pass the length and positional filters.
+
+    Two that have the same n-gram one place earlier have met there, with more room to the positional
+    filter, so a pair is given where a run of shared n-grams begins."""
     rec = rec[np.lexsort((rec["key"], rec["size"], rec["g"]))]
-    g, size, pos, key = rec["g"], rec["size"].astype(np.int64), rec["pos"].astype(np.int64), rec["key"]
+    g, size, pos, key, before = rec["g"], rec["size"].astype(np.int64), rec["pos"].astype(np.int64), rec["key"], rec["before"]
     i = np.arange(len(rec))
     step = 0
     while len(i):
@@ -220,7 +223,7 @@ def prefix_pairs(rec: np.ndarray, t: float) -> Iterator[np.ndarray]:
         fit = (g[i] == g[j]) & (size[i] >= t * size[j] - 1e-9)
         i, j = i[fit], j[fit]
         bound = np.minimum(size[i] - pos[i], size[j] - pos[j])  # this n-gram and what follows it
-        ok = bound >= _least_overlap(size[i], size[j], t)
+        ok = (bound >= _least_overlap(size[i], size[j], t)) & ((before[i] != before[j]) | (before[i] == 0))
         if ok.any():
             out = np.empty(int(ok.sum()), _PAIR)
             x, y = key[i[ok]], key[j[ok]]
@@ -239,6 +242,7 @@ def _candidate_pairs(sets: DataFrame, t: float, count: int) -> DataFrame:
             n = np.minimum(_prefix_length(size, t) - head, [len(x) for x in grams])
             rec = np.empty(int(n.sum()), _PREFIX)
             rec["g"] = np.concatenate([x[:k] for x, k in zip(grams, n)]) if len(n) else 0
+            rec["before"] = np.concatenate([np.concatenate([np.zeros(1, np.uint64), x[: k - 1]]) for x, k in zip(grams, n) if k]) if len(rec) else 0
             rec["key"], rec["size"], rec["pos"] = np.repeat(key, n), np.repeat(size, n), np.repeat(head, n) + range_within(n)
             yield from packer.add(mix(rec["g"]) % np.uint64(count), rec)
         yield from packer.flush()
