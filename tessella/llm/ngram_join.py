@@ -83,9 +83,16 @@ _NAMES = [x.split()[0] for x in _ROWS.split(", ")]
 
 
 def _blob(p: int, source: int, key: np.ndarray, size: np.ndarray, grams: np.ndarray, extra: np.ndarray | None = None) -> list:
-    """n-grams of classes (rows in runs of equal key)."""
+    """n-grams of classes (rows in runs of equal key, cut at 255). With many partitions a class has few
+    n-grams in each, so its own part is kept short: sizes take two bytes unless one needs four."""
     at = group_bounds(key)
-    return [p, source, key[at[:-1]].tobytes(), size[at[:-1]].astype(np.uint32).tobytes(), np.diff(at).astype(np.uint32).tobytes(), _six(grams), b"" if extra is None else extra.astype(np.uint16).tobytes()]
+    length = np.diff(at)
+    if len(length) and length.max() > 255:
+        parts = -(-length // 255)
+        at = np.concatenate([np.repeat(at[:-1], parts) + 255 * range_within(parts), at[-1:]])
+        length = np.diff(at)
+    size = size[at[:-1]]
+    return [p, source, key[at[:-1]].tobytes(), size.astype(np.uint16 if not len(size) or size.max() < 65536 else np.uint32).tobytes(), length.astype(np.uint8).tobytes(), _six(grams), b"" if extra is None else extra.astype(np.uint16).tobytes()]
 
 
 def _batch(rows: list[list]) -> pa.RecordBatch:
@@ -98,9 +105,9 @@ def _read(batches: Iterator[pa.RecordBatch], extra: bool = False):
     parts = [[], [], [], []]
     for b in batches:
         for _, source, keys, sizes, counts, grams, more in zip(*[b.column(c) for c in _NAMES]):
-            n = np.frombuffer(counts.as_buffer(), np.uint32)
+            n = np.frombuffer(counts.as_buffer(), np.uint8)
             parts[0].append(np.repeat(np.frombuffer(keys.as_buffer(), np.uint64), n))
-            parts[1].append(np.repeat(np.frombuffer(sizes.as_buffer(), np.uint32), n))
+            parts[1].append(np.repeat(np.frombuffer(sizes.as_buffer(), np.uint16 if len(sizes.as_buffer()) == 2 * len(n) else np.uint32).astype(np.uint32), n))
             parts[2].append(_unsix(grams.as_buffer()) | (np.uint64(source.as_py()) << np.uint64(48)))
             if extra:
                 parts[3].append(np.frombuffer(more.as_buffer(), np.uint16))
@@ -231,6 +238,19 @@ def prefix_pairs(rec: np.ndarray, t: float) -> Iterator[np.ndarray]:
             yield out
 
 
+_PAIRS = "p int, a binary, counts binary, b binary"
+
+
+def _pair_blobs(rec: np.ndarray, count: int) -> Iterator[pa.RecordBatch]:
+    """Unique pairs by partition of their first class, which is written once for all its partners."""
+    rows = []
+    for p, (r,) in by_partition((mix(rec["a"].view(np.uint64)) % np.uint64(count)).astype(np.int32), count, rec):
+        at = group_bounds(r["a"])
+        rows.append([p, r["a"][at[:-1]].tobytes(), np.diff(at).astype(np.uint32).tobytes(), np.ascontiguousarray(r["b"]).tobytes()])
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 3])], ["p", "a", "counts", "b"])
+
+
 def _candidate_pairs(sets: DataFrame, t: float, count: int) -> DataFrame:
     from .common import Packer, unpack
 
@@ -248,7 +268,7 @@ def _candidate_pairs(sets: DataFrame, t: float, count: int) -> DataFrame:
         yield from packer.flush()
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, packer = [], 0, Packer(count)
+        held, n = [], 0
         for x in prefix_pairs(unpack(batches, _PREFIX), t):
             held.append(x)
             n += len(x)
@@ -256,22 +276,24 @@ def _candidate_pairs(sets: DataFrame, t: float, count: int) -> DataFrame:
                 held = [_unique_pairs(np.concatenate(held))]
                 n = len(held[0])
                 if n > 1_000_000:
-                    yield from send(packer, held[0])
+                    yield from _pair_blobs(held[0], count)
                     held, n = [], 0
         if held:
-            yield from send(packer, _unique_pairs(np.concatenate(held)))
-        yield from packer.flush()
-
-    def send(packer: Packer, rec: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield from packer.add(mix(rec["a"].view(np.uint64) * np.uint64(3) + rec["b"].view(np.uint64)) % np.uint64(count), rec)
+            yield from _pair_blobs(_unique_pairs(np.concatenate(held)), count)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rec = _unique_pairs(unpack(batches, _PAIR))
+        found = [np.zeros(0, _PAIR)]
+        for batch in batches:
+            for a, n, b in zip(*[batch.column(c) for c in ("a", "counts", "b")]):
+                x = np.empty(len(b.as_buffer()) // 8, _PAIR)
+                x["a"], x["b"] = np.repeat(np.frombuffer(a.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.uint32)), np.frombuffer(b.as_buffer(), np.int64)
+                found.append(x)
+        rec = _unique_pairs(np.concatenate(found))
         for i in range(0, len(rec), 50_000):
             x = rec[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["a"])), pa.array(np.ascontiguousarray(x["b"]))], ["a", "b"])
 
-    met = exchange(sets.mapInArrow(prefixes, Packer.SCHEMA), count).mapInArrow(pairs, Packer.SCHEMA)
+    met = exchange(sets.mapInArrow(prefixes, Packer.SCHEMA), count).mapInArrow(pairs, _PAIRS)
     return written(exchange(met, count).mapInArrow(once, "a bigint, b bigint"), "ngram-pairs")
 
 
@@ -354,12 +376,12 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
 
     members = written(docs.mapInArrow(classes, "doc_id bigint, key bigint, size bigint").where("size > 0"), "ngram-members")
     names = members.groupBy("key").agg(F.min("doc_id").alias("least"))
-    equal = members.join(names, "key").where("doc_id > least").select(F.col("least").alias("doc_id"), F.col("doc_id").alias("match_id"), F.lit(1.0).alias("jaccard")).distinct()
+    equal = members.join(names, "key").where("doc_id > least").select(F.col("least").alias("doc_id"), F.col("doc_id").alias("match_id"), F.lit(1.0).alias("jaccard"))
     sets = _candidates_of(_shared_grams(docs, n, threshold, count), threshold)
     pairs = _candidate_pairs(sets, threshold, count)
     near = _verified(pairs, sets, threshold, count)
     near = near.join(names.select(F.col("key").alias("a"), F.col("least").alias("x")), "a").join(names.select(F.col("key").alias("b"), F.col("least").alias("y")), "b")
-    near = near.where("x <> y").groupBy(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("match_id")).agg(F.max("jaccard").alias("jaccard"))
+    near = near.where("x <> y").select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("match_id"), "jaccard")
     return equal.unionByName(near).groupBy("doc_id", "match_id").agg(F.max("jaccard").alias("jaccard"))
 
 
