@@ -28,6 +28,7 @@ N, THRESHOLD = 3, 0.5
 BLOCK = 256  # classes of one neighbourhood that are verified against one other such block
 SIGNATURE = 64  # parts of a set whose sizes bound an overlap
 HELD = 2_600_000  # n-grams that a task holds before it sends them
+PART_BYTES = 20 << 20  # n-grams that meet in one task: small enough for its memory, large enough that classes have several in it
 
 
 def ngram_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -334,8 +335,8 @@ def overlaps(a: np.ndarray, b: np.ndarray, key: np.ndarray, size: np.ndarray, gr
     return live[ok], j[ok]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: float, count: int) -> DataFrame:
-    """(a, b, jaccard) of the pairs that are similar enough.
+def _verified(pairs: DataFrame, sets: DataFrame, names: DataFrame, t: float, count: int) -> DataFrame:
+    """(x, y, jaccard) of the pairs that are similar enough, x and y being the classes' least doc_ids.
 
     Classes that share neighbours are verified together: a class belongs to the cell of its least
     neighbour, cells are cut to blocks, and a pair goes where its two blocks meet, so a set travels
@@ -348,15 +349,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: float, count: int) -> DataFr
     buckets = 4 * count
     placed = placed.select("a", "b", F.expr(f"int(pmod(xxhash64(least(ba, bb), greatest(ba, bb)), {buckets}))").alias("site"))
     placed = written(placed, "ngram-sites")
-    needed = placed.select(F.col("site").alias("at"), F.col("a").alias("key")).unionAll(placed.select("site", "b")).distinct().join(sets, "key")
+    needed = placed.select(F.col("site").alias("at"), F.col("a").alias("key")).unionAll(placed.select("site", "b")).distinct().join(names, "key").join(sets, "key")
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = (left.column(c).to_numpy() for c in ("a", "b"))
         grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("grams")]
-        i, j = overlaps(a, b, right.column("key").to_numpy(), right.column("size").to_numpy(), grams, t)
-        return pa.table({"a": a[i], "b": b[i], "jaccard": j})
+        key, least = right.column("key").to_numpy(), right.column("least").to_numpy()
+        i, j = overlaps(a, b, key, right.column("size").to_numpy(), grams, t)
+        order = np.argsort(key)
+        x, y = (least[order[np.searchsorted(key[order], c[i])]] for c in (a, b))
+        return pa.table({"x": x, "y": y, "jaccard": j})
 
-    return placed.groupBy("site").cogroup(needed.groupBy("at")).applyInArrow(verify, "a bigint, b bigint, jaccard double")
+    return placed.groupBy("site").cogroup(needed.groupBy("at")).applyInArrow(verify, "x bigint, y bigint, jaccard double")
 
 
 def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -377,10 +381,10 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     members = written(docs.mapInArrow(classes, "doc_id bigint, key bigint, size bigint").where("size > 0"), "ngram-members")
     names = members.groupBy("key").agg(F.min("doc_id").alias("least"))
     equal = members.join(names, "key").where("doc_id > least").select(F.col("least").alias("doc_id"), F.col("doc_id").alias("match_id"), F.lit(1.0).alias("jaccard"))
-    sets = _candidates_of(_shared_grams(docs, n, threshold, count), threshold)
+    grams = members.agg(F.sum("size")).first()[0] or 0
+    sets = _candidates_of(_shared_grams(docs, n, threshold, min(60_000, max(docs.sparkSession.sparkContext.defaultParallelism, -(-6 * grams // PART_BYTES)))), threshold)
     pairs = _candidate_pairs(sets, threshold, count)
-    near = _verified(pairs, sets, threshold, count)
-    near = near.join(names.select(F.col("key").alias("a"), F.col("least").alias("x")), "a").join(names.select(F.col("key").alias("b"), F.col("least").alias("y")), "b")
+    near = _verified(pairs, sets, names, threshold, count)
     near = near.where("x <> y").select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("match_id"), "jaccard")
     return equal.unionByName(near).groupBy("doc_id", "match_id").agg(F.max("jaccard").alias("jaccard"))
 
