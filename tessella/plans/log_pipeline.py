@@ -179,7 +179,7 @@ def rate(entries: DataFrame, seconds: int, window: str) -> DataFrame:
     after = F.lead("k").over(Window.partitionBy("low").orderBy("k"))
     filled = counts.withColumn("after", F.coalesce(after, F.col("k") + 1)).select("low", "k", "count", F.explode(F.sequence("k", F.col("after") - 1)).alias("at"))
     return filled.select(
-        F.date_format(F.timestamp_micros(F.col("low") + F.col("at") * width), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("bucket"),
+        F.date_format(F.expr(f"timestampadd(MICROSECOND, low + at * {width}, TIMESTAMP_NTZ'1970-01-01 00:00:00')"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("bucket"),
         F.when(F.col("at") == F.col("k"), F.col("count")).otherwise(0).cast("bigint").alias("count"),
         F.lit(window).alias("window"),
     )
