@@ -57,7 +57,7 @@ def scored_pairs(left: DataFrame, right: DataFrame, threshold: float, k: int | N
     schema = f"left_key {key_type}, right_key {right_type}, score double"
 
     def pairs(lk, lm, rk, rm) -> Iterator[pa.RecordBatch]:
-        lt, rt = pa.array(lk), pa.array(rk)
+        lt, rt = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (lk, rk))
         if lm.shape[1] != rm.shape[1]:
             return
         for i in range(0, len(lm), 1024):
@@ -73,13 +73,13 @@ def scored_pairs(left: DataFrame, right: DataFrame, threshold: float, k: int | N
     small = right.select("key", "embedding")
     if size_bytes(right, "embedding") <= SMALL_BYTES:
         rows = small.toArrow()
-        held = left.sparkSession.sparkContext.broadcast((rows.column("key").to_pylist(), _matrix(rows.column("embedding"))))
+        held = left.sparkSession.sparkContext.broadcast((rows.column("key").combine_chunks(), _matrix(rows.column("embedding"))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rk, rm = held.value
             for b in batches:
                 if b.num_rows and len(rk):
-                    yield from pairs(b.column("key").to_pylist(), _matrix(b.column("embedding")), rk, rm)
+                    yield from pairs(b.column("key"), _matrix(b.column("embedding")), rk, rm)
 
         return left.select("key", "embedding").mapInArrow(run, schema)
 
@@ -94,7 +94,7 @@ def scored_pairs(left: DataFrame, right: DataFrame, threshold: float, k: int | N
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         out = []
         if x.num_rows and y.num_rows:
-            out = list(pairs(x.column("key").to_pylist(), _matrix(x.column("embedding")), y.column("key").to_pylist(), _matrix(y.column("embedding"))))
+            out = list(pairs(x.column("key"), _matrix(x.column("embedding")), y.column("key"), _matrix(y.column("embedding"))))
         return pa.Table.from_batches(out) if out else pa.table({"left_key": pa.array([], x.schema.field("key").type), "right_key": pa.array([], y.schema.field("key").type), "score": pa.array([], pa.float64())})
 
     return a.groupBy("site").cogroup(b.groupBy("site")).applyInArrow(meet, schema)

@@ -169,7 +169,8 @@ def _order_join(spark, d, how):
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    return df.select("_left.o_orderkey", "_left.o_custkey", *[f"_right.{c.split('.')[1]}" for c in _PICK.split(", ")])
+    """Columns of both sides; -1 where the right side is absent."""
+    return df.select("_left.o_orderkey", "_left.o_custkey", *[F.coalesce(F.col(f"_right.{c.split('.')[1]}"), F.lit(-1)).alias(c.split(".")[1]) for c in _PICK.split(", ")])
 
 
 @query(f"SELECT o_orderkey, o_custkey, {_PICK} FROM orders JOIN {_last_item('l_orderkey', _ORDER)} l ON o_orderkey = l_orderkey")
@@ -177,7 +178,10 @@ def cq_join_inner(spark, d):
     return _flat(_order_join(spark, d, "inner"))
 
 
-@query(f"SELECT o_orderkey, o_custkey, {_PICK} FROM orders LEFT JOIN {_last_item('l_orderkey', _ORDER)} l ON o_orderkey = l_orderkey")
+_PICK_OR = ", ".join(f"coalesce({c}, -1) AS {c.split('.')[1]}" for c in _PICK.split(", "))
+
+
+@query(f"SELECT o_orderkey, o_custkey, {_PICK_OR} FROM orders LEFT JOIN {_last_item('l_orderkey', _ORDER)} l ON o_orderkey = l_orderkey")
 def cq_join_left(spark, d):
     return _flat(_order_join(spark, d, "left"))
 
@@ -213,10 +217,11 @@ def cq_group_values(spark, d):
 
 
 @query("""WITH a AS (SELECT doc_id, n_chars FROM documents), b AS (SELECT doc_id, quality FROM labels)
-SELECT CASE WHEN b.doc_id IS NULL THEN 'only_left' WHEN a.doc_id IS NULL THEN 'only_right' ELSE 'both' END AS side, a.doc_id AS left_id, b.doc_id AS right_id, quality FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
+SELECT CASE WHEN b.doc_id IS NULL THEN 'only_left' WHEN a.doc_id IS NULL THEN 'only_right' ELSE 'both' END AS side, coalesce(a.doc_id, -1) AS left_id, coalesce(b.doc_id, -1) AS right_id, coalesce(quality, -1) AS quality FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
 def cq_diff(spark, d):
     out = relate.diff(table(spark, d, "documents").select("doc_id", "n_chars"), table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "doc_id", ["doc_id"])
-    return out.select("side", F.col("row_left.doc_id").alias("left_id"), F.col("row_right.doc_id").alias("right_id"), F.col("row_right.quality").alias("quality"))
+    or_none = lambda c: F.coalesce(F.col(c), F.lit(-1))
+    return out.select("side", or_none("row_left.doc_id").alias("left_id"), or_none("row_right.doc_id").alias("right_id"), or_none("row_right.quality").alias("quality"))
 
 
 # Vectors
