@@ -1,0 +1,420 @@
+"""Operators against brute force, exact properties or held-out accuracy."""
+
+import itertools
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessella.llm import common, html_extract, language_id, line_dedup, mixing, ngram_join, packing, pii, quality, substring_dedup
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+SF = "/root/testdata/sf0.001"
+
+
+def frame(spark, texts, lang="en", source="web"):
+    return spark.createDataFrame([(i, t, lang, source, len(t)) for i, t in enumerate(texts)], DOCS)
+
+
+# Packing
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 9), st.integers(0, 6)), min_size=1, max_size=9), st.integers(9, 20))
+def test_best_cuts(units, capacity):
+    lengths, penalties = zip(*units)
+    n, best = len(units), None
+    for k in range(n):
+        for cuts in itertools.combinations(range(1, n), k):
+            ends = [*cuts, n]
+            sizes = [sum(lengths[a:b]) for a, b in zip([0, *cuts], ends)]
+            if max(sizes) <= capacity:
+                cost = sum(capacity - s for s in sizes) + sum(penalties[e - 1] for e in ends)
+                best = cost if best is None else min(best, cost)
+    cost, ends = packing.best_cuts(list(lengths), list(penalties), capacity)
+    sizes = [sum(lengths[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+    assert cost == best == sum(capacity - s for s in sizes) + sum(penalties[e - 1] for e in ends)
+    assert max(sizes) <= capacity and ends[-1] == n
+
+
+def brute_windows(texts, capacity):
+    """Pieces by quadratic dynamic programming over sentences."""
+    units = []
+    for i, t in texts:
+        words = [(m.group(), m.end()) for m in re.finditer(r"[^ \t\n\r\f]+", t)]
+        sentence, own = 0, []
+        for k, (w, end) in enumerate(words):
+            sentence += 1
+            gap = t[end : words[k + 1][1] - len(words[k + 1][0])] if k + 1 < len(words) else ""
+            if w[-1] in ".!?" or "\n" in gap or k + 1 == len(words):
+                while sentence > capacity:
+                    own.append([i, capacity, packing.HARD_PENALTY])
+                    sentence -= capacity
+                own.append([i, sentence, packing.SENTENCE_PENALTY])
+                sentence = 0
+        if own:
+            own[-1][2] = 0
+        units += own
+    f, back = [0], [0]
+    for j in range(1, len(units) + 1):
+        best = None
+        total = 0
+        for i in range(j - 1, -1, -1):
+            total += units[i][1]
+            if total > capacity:
+                break
+            cost = f[i] + capacity - total + units[j - 1][2]
+            if best is None or cost <= best[0]:
+                best = (cost, i)
+        f.append(best[0])
+        back.append(best[1])
+    return f[-1], units
+
+
+def test_packing_is_optimal_and_whole(spark):
+    r = random.Random(1)
+    texts = [" ".join(r.choice(["aa", "b.", "c\n", "d!"]) for _ in range(r.randint(1, 60))).strip() for _ in range(70)]
+    out = packing.pack(frame(spark, texts), capacity=40, block=16).collect()
+    for block in range(5):
+        own = [(i, t) for i, t in enumerate(texts) if i // 16 == block]
+        cost, units = brute_windows(own, 40)
+        ours = sorted((x for x in out if x.block == block), key=lambda x: (x.window, x.piece))
+        at, spent = defaultdict(int), 0
+        for x in ours:
+            assert x.start_word == at[x.doc_id]
+            at[x.doc_id] += x.n_words
+        assert at == Counter({i: len(t.split()) for i, t in own})
+        for w, pieces in itertools.groupby(ours, lambda x: x.window):
+            pieces = list(pieces)
+            assert sum(p.n_words for p in pieces) + pieces[0].padding == 40
+            end = pieces[-1]
+            done = end.start_word + end.n_words
+            sizes = list(itertools.accumulate(u[1] for u in units if u[0] == end.doc_id))
+            spent += pieces[0].padding + [u for u in units if u[0] == end.doc_id][sizes.index(done)][2]
+        assert spent == cost
+
+
+# Language ID
+
+
+def test_forward_backward_is_exact():
+    rng = np.random.default_rng(0)
+    k, n, starts = 3, 11, np.array([0, 4, 5])
+    m = language_id.Model([*"abc"], np.zeros((1, 3)), rng.standard_normal((k, k)), rng.standard_normal(k), np.zeros(0), np.zeros(0))
+    score = rng.standard_normal((n, k)).astype(np.float32)
+    got = m.posteriors(score, np.arange(n), starts)
+    for a, b in zip(starts, [*starts[1:], n]):
+        want = np.zeros((b - a, k))
+        for y in itertools.product(range(k), repeat=b - a):
+            p = np.exp(m.first[y[0]] + sum(score[a + i, v] for i, v in enumerate(y)) + sum(m.transitions[u, v] for u, v in itertools.pairwise(y)))
+            for i, v in enumerate(y):
+                want[i, v] += p
+        np.testing.assert_allclose(got[a:b], want / want.sum(1, keepdims=True), rtol=1e-4, atol=1e-5)
+
+
+def test_language_held_out_and_code_switched(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(docs, sample_docs=25)
+    truth = {r.doc_id: r.lang for r in docs.where("n_chars > 60").collect()}
+    out = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    judged = [(truth[d], r.language) for d, r in out.items() if d in truth and r.keep]
+    assert sum(a == b for a, b in judged) / len(judged) > 0.95
+    by_lang = {lang: next(r.text for r in docs.where((F.col("lang") == lang) & (F.length("text") > 400)).orderBy("doc_id").take(1)) for lang in {*truth.values()}}
+    langs = sorted(by_lang)[:2]
+    parts = [" ".join(by_lang[x].split()[:40]) for x in langs]
+    r = language_id.identify(frame(spark, [" ".join(parts)]), model).first()
+    labels = [s.language for s in r.segments for _ in range(s.n_words)]
+    want = [langs[0]] * 40 + [langs[1]] * 40
+    assert sum(a == b for a, b in zip(labels, want)) >= 72
+    junk = language_id.identify(frame(spark, ["xkq#9 zz$$ 0f3a9c 8b7d6e ffe012 qqqzx9 " * 8]), model).first()
+    assert not junk.keep
+
+
+# HTML
+
+
+def test_html_held_out():
+    model = html_extract.train([], rounds=6)
+    held = html_extract.synthetic_pages(np.random.default_rng(99), 60)
+    pages = [html_extract.leaves(h)[:2] for h, _ in held]
+    y = np.concatenate([l for _, l in held])
+    p = model.probabilities(html_extract.Batch(pages)) >= 0.5
+    assert (p == y).mean() > 0.93
+
+
+def test_html_gradients():
+    rng = np.random.default_rng(3)
+    pages = [html_extract.leaves(h)[:2] for h, _ in html_extract.synthetic_pages(rng, 3)]
+    b = html_extract.Batch(pages)
+    y = (rng.random(len(b.words)) < 0.5).astype(np.float32)
+    m = html_extract.Labeller(rng)
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    g = m.gradients(b, y)
+
+    def loss():
+        z = m.logits(m.inputs(b).astype(np.float64), b.count)[0].astype(np.float64)
+        return np.mean(np.logaddexp(0, z) - y * z)
+
+    for name in ("wf", "wb", "out", "tag", "word"):
+        i = np.unravel_index(np.argmax(np.abs(g[name])), g[name].shape)
+        old, eps = m.p[name][i], 1e-2
+        m.p[name][i] = old + eps
+        up = loss()
+        m.p[name][i] = old - eps
+        down = loss()
+        m.p[name][i] = old
+        assert abs((up - down) / (2 * eps) - g[name][i]) < 0.05 * abs(g[name][i]) + 1e-4
+
+
+def test_html_leaves():
+    texts, paths, _ = html_extract.leaves("<head><title>t</title></head><body><div class='Menu'><a>x</a></div><p>one <b>two</b> &amp; <script>no<</script>three<p>four")
+    assert texts == ["x", "one", "two", "&", "three", "four"] or texts == ["x", "one", "two", "& three", "four"]
+    assert paths[0] == ("body", "div.menu", "a") and paths[-1] == ("body", "p")
+
+
+# PII
+
+
+def test_pii_kinds():
+    text = "Mail jo@x.org or call +44 20 7946 0958. Card 4539 1488 0343 6467, not 4539 1488 0343 6468. IBAN GB82 WEST 1234 5698 7654 32, not GB82 WEST 1234 5698 7654 33. Host 10.1.2.3. token=abcd1234efgh5678"
+    found = {(k, text[a:b]) for k, a, b, _, _ in pii.find(text)}
+    assert {("email", "jo@x.org"), ("credit_card", "4539 1488 0343 6467"), ("ip_address", "10.1.2.3"), ("secret", "abcd1234efgh5678")} <= found
+    assert any(k == "iban" and s.startswith("GB82 WEST 1234 5698 7654 32") for k, s in found) and any(k == "phone" for k, _ in found)
+    assert not any("6468" in s or s.endswith("33") for _, s in found)
+    assert pii.find("The year 1999 had 365 days and 12 months; version 1.2.3 of 10 parts.") == []
+
+
+def test_checksums():
+    assert pii.luhn("79927398713") and not pii.luhn("79927398710") and not pii.luhn("0000000000000")
+    assert pii.mod97("DE89370400440532013000") and not pii.mod97("DE89370400440532013001")
+
+
+def test_context_lifts():
+    bare, near = pii.find("see 536-90-4399 there"), pii.find("social security 536-90-4399 there")
+    assert not bare and near[0][0] == "ssn" and near[0][3] == 0.75
+
+
+# N-grams, substrings, lines
+
+
+def grams(text, n=3):
+    w = re.findall(r"[^ \t\n\r\f]+", text)
+    return set(zip(*(w[i:] for i in range(n)))) if len(w) >= n else ({tuple(w)} if w else set())
+
+
+def noisy(r, base, rate):
+    return " ".join(w if r.random() > rate else f"z{r.randint(0, 50)}" for w in base)
+
+
+@pytest.fixture(scope="module")
+def mixed():
+    r = random.Random(5)
+    bases = [[f"w{r.randint(0, 120)}" for _ in range(r.randint(5, 120))] for _ in range(12)]
+    texts = [noisy(r, b, x) for b in bases for x in (0, 0, 0.03, 0.1, 0.2, 0.5)] + ["a", "a", "a b", "", "a b c"]
+    r.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("t", [0.3, 0.5, 0.8])
+def test_ngram_join(spark, mixed, t):
+    sets = [grams(x) for x in mixed]
+    first = {}
+    for i, s in enumerate(sets):
+        if s:
+            first.setdefault(frozenset(s), i)
+    want = {(first[frozenset(s)], i): 1.0 for i, s in enumerate(sets) if s and first[frozenset(s)] != i}
+    for x, y in itertools.combinations(sorted(first.values()), 2):
+        j = len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+        if j >= t:
+            want[x, y] = j
+    got = {(r.doc_id, r.match_id): r.jaccard for r in ngram_join.similar_pairs(frame(spark, mixed), threshold=t).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_components(spark):
+    r = random.Random(2)
+    edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(40)]
+    root = {v: v for e in edges for v in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {x.v: x.root for x in ngram_join.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {v: x for v, x in root.items() if v != x}
+
+
+def test_substring(spark):
+    r = random.Random(4)
+    common_ = [f"c{i}" for i in range(80)]
+    texts = []
+    for i in range(25):
+        own = [f"w{r.randint(0, 400)}" for _ in range(r.randint(0, 150))]
+        if i % 3 == 0:
+            a = r.randint(0, 25)
+            at = r.randint(0, len(own))
+            own = own[:at] + common_[a : a + r.randint(45, 55)] + own[at:]
+        texts.append(" ".join(own))
+    texts += ["x " * 130, "x " * 49, "p q " * 60, " ".join(common_)]
+    m = substring_dedup.MIN_WORDS
+    where = defaultdict(list)
+    for d, t in enumerate(texts):
+        w = t.split()
+        for p in range(len(w) - m + 1):
+            where[tuple(w[p : p + m])].append((d, p))
+    want = {}
+    for places in where.values():
+        if len(places) > 1:
+            for k, (d, p) in enumerate(places):
+                for q in range(p, p + m):
+                    want[d, q] = want.get((d, q), False) or k > 0
+    got = {(x.doc_id, q): x.later for x in substring_dedup.repeated_passages(frame(spark, texts)).collect() for q in range(x.start_word, x.start_word + x.n_words)}
+    assert got == want
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=200))
+def test_perfect_hash(seed):
+    keys = np.unique(common.mix(np.arange(len(seed) * 7 + 1, dtype=np.uint64)))
+    h = line_dedup.PerfectHash.build(keys)
+    assert sorted(h.index(keys).tolist()) == list(range(len(keys)))
+
+
+@pytest.mark.parametrize("resident", [1 << 20, -1])
+def test_lines(spark, resident):
+    r = random.Random(8)
+    texts = ["\n".join(r.choice(["same", "other", " ", "", f"own {i} {k}"]) for k in range(r.randint(0, 9))) for i in range(40)]
+    lines = [t.split("\n") for t in texts]
+    count = Counter(x for t in lines for x in t)
+    owner = {}
+    for i, t in enumerate(lines):
+        for x in t:
+            owner.setdefault(x, i)
+    want = {}
+    for i, t in enumerate(lines):
+        kept, seen = [], set()
+        for x in t:
+            if x.strip() and count[x] >= 10 and not (owner[x] == i and x not in seen):
+                continue
+            seen.add(x)
+            kept.append(x)
+        want[i] = ("\n".join(kept), len(t), len(t) - len(kept))
+    got = {x.doc_id: (x.text, x.n_lines, x.n_dropped) for x in line_dedup.dedup_lines(frame(spark, texts), 10, resident).collect()}
+    assert got == want
+
+
+# Quality and mixing
+
+
+def test_quality_rejects_what_was_planted_and_resists_masking(spark):
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    good = [" ".join(r.choice(vocab) for _ in range(r.randint(40, 300))) + "." for _ in range(400)]
+    bad = ["$$ %% ## @@ " * 40, "A B C D " * 60, "x" * 4000, "1234 9876 " * 80] * 15  # 13 % of all, and alike
+    kept = {x.doc_id for x in quality.reject_outliers(frame(spark, good + bad)).collect()}
+    assert len(kept & set(range(400))) >= 396 and not kept - set(range(400))
+
+
+def test_concentration_matches_direct_steps(spark):
+    """The estimate by binned aggregation is near the plain one, over sorted distances."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.standard_normal((700, 8)) * 0.4 + 1, rng.standard_normal((100, 8)) * 0.1 + 9])
+    df = spark.createDataFrame([("e", *map(float, v)) for v in x], "e string, " + ", ".join(f"x{i} double" for i in range(8)))
+    p = quality.estimates(df, 8).first()
+    centre, inverse = np.median(x, 0), np.diag(1 / np.maximum(((np.quantile(x, 0.75, 0) - np.quantile(x, 0.25, 0)) / 1.349) ** 2, quality.FLOOR**2))
+    for _ in range(8):
+        d = np.einsum("ni,ij,nj->n", x - centre, inverse, x - centre)
+        kept = x[np.argsort(d)[: int(len(x) * quality.SUPPORT)]]
+        centre, cov = kept.mean(0), np.cov(kept.T, bias=True) * 1.5
+        inverse = np.linalg.inv(cov + np.diag(np.maximum(quality.FLOOR**2 - np.diag(cov), 0)))
+    np.testing.assert_allclose([p[f"m{i}"] for i in range(8)], centre, atol=0.03)
+    assert abs(p["m0"] - 1) < 0.1  # the far eighth didn't move it
+
+
+def test_mixing_totals_are_exact_and_fair(spark):
+    rows = [(i, "w " * (1 + i % 7), "en", "big" if i % 5 else "small", 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    takes = Counter()
+    for seed in range(12):
+        out = mixing.copies_table(docs, seed=seed, leaf=64).collect()
+        for source in ("big", "small"):
+            own = [x for x in out if x.source == source]
+            total = sum(x.copies for x in own)
+            assert abs(total - sum(x.rate for x in own)) < 1 + 1e-6
+            assert all(x.copies in (int(x.rate), int(x.rate) + 1) for x in own)
+        takes.update(x.doc_id for x in out if x.copies > int(x.rate))
+    rate = next(x.rate for x in out if x.source == "big")
+    share = sum(takes[i] for i in range(3000) if i % 5) / (12 * 2400)
+    assert abs(share - (rate - int(rate))) < 0.01
+    again = sorted((x.doc_id, x.copies) for x in mixing.copies_table(docs.repartition(7), seed=11, leaf=64).collect())
+    assert again == sorted((x.doc_id, x.copies) for x in out)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.floats(0.01, 0.99), min_size=1, max_size=30), st.integers(0, 1000))
+def test_pivotal_keeps_the_sum(p, seed):
+    q, left = mixing.pivotal(np.array(p), np.random.default_rng(seed).random(len(p)))
+    assert abs(q.sum() - sum(p)) < 1e-6
+    assert all(v in (0.0, 1.0) for i, v in enumerate(q) if i != left)
+
+
+def test_target_weights(spark):
+    docs = spark.createDataFrame([(i, "word " * 10, "en", "ab"[i % 2], 1) for i in range(400)], DOCS)
+    n = Counter(x.source for x in mixing.mix_sources(docs, weights={"a": 3, "b": 1}).collect())
+    assert abs(n["a"] - 300) <= 1 and abs(n["b"] - 100) <= 1
+
+
+# The pipeline
+
+
+def test_pipeline_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    frame_ = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(frame_)
+    keep = {r.doc_id for r in language_id.identify(frame_, model).where("keep").collect()}
+    left = {r.doc_id: r.text for r in docs if r.doc_id in keep}
+    count = Counter(x for t in left.values() for x in t.split("\n"))
+    owner = {}
+    for i, t in left.items():
+        for x in t.split("\n"):
+            owner.setdefault(x, i)
+    cleaned = {}
+    for i, t in left.items():
+        kept, seen = [], set()
+        for x in t.split("\n"):
+            if not (x.strip() and count[x] >= line_dedup.MIN_COUNT and not (owner[x] == i and x not in seen)):
+                kept.append(x)
+                seen.add(x)
+        text = "\n".join(kept)
+        if len(kept) == len(t.split("\n")) or text.strip():
+            cleaned[i] = text
+    sets = {i: grams(t) for i, t in cleaned.items()}
+    root = {i: i for i in sets}
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= ngram_join.THRESHOLD * len(sets[a] | sets[b])]
+    for _ in range(len(pairs)):
+        before = dict(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            break
+    single = {i: cleaned[i] for i in cleaned if root[i] == i}
+    source = {r.doc_id: r.source for r in docs}
+    tokens = Counter()
+    for i, t in single.items():
+        tokens[source[i]] += len(t.encode())
+    weight = {s: n**mixing.ALPHA for s, n in tokens.items()}
+    rate = {s: weight[s] / sum(weight.values()) * sum(tokens.values()) / tokens[s] for s in tokens}
+    words = {i: len(t.split()) for i, t in single.items()}
+    out = corpus_pipeline.run(spark, SF)
+    got = {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.sum("n_words").alias("n")).collect()}
+    copies = {i: n / words[i] for i, n in got.items()}
+    assert set(got) <= set(single) and all(c == int(c) and int(c) - int(rate[source[i]]) in (0, 1) for i, c in copies.items())
+    assert all(i in got for i in single if words[i] and int(rate[source[i]]) > 0)
+    for s in tokens:
+        own = [i for i in single if source[i] == s]
+        empty = sum(not words[i] for i in own)
+        assert abs(sum(copies.get(i, 0) for i in own) - rate[s] * len(own)) <= 1 + 1e-6 + empty * (int(rate[s]) + 1)
