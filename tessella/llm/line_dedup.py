@@ -220,12 +220,14 @@ def _probe_routed(docs: DataFrame, arrays: DataFrame, shards: int, min_count: in
         hits.groupBy("rid", "h").agg(F.min(F.when(F.col("own"), F.col("pos"))).alias("keep"), F.collect_list("pos").alias("at"))
         .groupBy("rid").agg(F.flatten(F.collect_list(F.array_except("at", F.array("keep")))).alias("gone"))
     )
-    split = F.split("text", "\n")
-    renamed = docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(drop.select(F.col("rid").alias("__rid"), F.col("gone").alias("__gone")), "__rid", "left")
-    kept = F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("__gone", s["i"]))
-    return renamed.select(
-        *[F.when(F.size("__gone") > 0, F.array_join(F.transform(kept, lambda s: s["x"]), "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("bigint").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("rid"))
+    joined = rows.join(drop, "rid", "left")  # the row's columns can't clash with ours
+    text = F.col("row.text")
+    split = F.split(text, "\n")
+    kept = F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("gone", s["i"]))
+    return joined.select(
+        *[F.when(F.size("gone") > 0, F.array_join(F.transform(kept, lambda s: s["x"]), "\n")).otherwise(text).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns],
+        F.when(text.isNull(), 0).otherwise(F.size(split)).cast("bigint").alias("n_lines"), F.size(F.coalesce("gone", F.array().cast("array<int>"))).cast("bigint").alias("n_dropped"),
     )
 
 

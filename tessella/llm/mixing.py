@@ -127,9 +127,10 @@ def copies_table(docs: DataFrame, weights: dict[str, float] | None = None, alpha
 
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
     """`docs` with each row as often as it has copies; columns as before. See copies_table()."""
-    count = copies_table(docs, **how).where("copies > 0").select(F.col("rid").alias("__rid"), F.col("copies").alias("__copies"))
-    keyed = docs.withColumn("__rid", F.xxhash64(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(t) for c, t in (("doc_id", "bigint"), ("source", "string"), ("text", "string"))]))
-    return keyed.join(count, "__rid").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    count = copies_table(docs, **how).where("copies > 0").select("rid", "copies")
+    rid = F.xxhash64(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(t) for c, t in (("doc_id", "bigint"), ("source", "string"), ("text", "string"))])
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), rid.alias("rid"))  # the row's columns can't clash with ours
+    return keyed.join(count, "rid").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("row.*")
 
 
 def op8_mixing(spark, sf_dir):
