@@ -89,15 +89,16 @@ def scored_pairs(left: DataFrame, right: DataFrame, threshold: float, k: int | N
 
     (a, na), (b, nb) = blocks(left), blocks(right)
     a = a.select("key", "embedding", "block", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("other")).withColumn("site", F.col("block") * nb + F.col("other"))
-    b = b.select("key", "embedding", "block", F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("other")).withColumn("site", F.col("other") * nb + F.col("block"))
+    b = b.select("key", "embedding", "block", F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("other"))
+    b = b.select(F.col("key").alias("right_key"), F.col("embedding").alias("right_embedding"), (F.col("other") * nb + F.col("block")).alias("right_site"))  # own names: both sides may be one table
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         out = []
         if x.num_rows and y.num_rows:
-            out = list(pairs(x.column("key"), _matrix(x.column("embedding")), y.column("key"), _matrix(y.column("embedding"))))
-        return pa.Table.from_batches(out) if out else pa.table({"left_key": pa.array([], x.schema.field("key").type), "right_key": pa.array([], y.schema.field("key").type), "score": pa.array([], pa.float64())})
+            out = list(pairs(x.column("key"), _matrix(x.column("embedding")), y.column("right_key"), _matrix(y.column("right_embedding"))))
+        return pa.Table.from_batches(out) if out else pa.table({"left_key": pa.array([], x.schema.field("key").type), "right_key": pa.array([], y.schema.field("right_key").type), "score": pa.array([], pa.float64())})
 
-    return a.groupBy("site").cogroup(b.groupBy("site")).applyInArrow(meet, schema)
+    return a.groupBy("site").cogroup(b.groupBy("right_site")).applyInArrow(meet, schema)
 
 
 def top_k(items: DataFrame, query: list[float], k: int = 5, threshold: float = 0.0) -> DataFrame:
