@@ -212,7 +212,7 @@ def src_cri_lines(spark, d):
 @query("SELECT 'bracket' AS format, 1 AS files UNION ALL SELECT 'json', 1 UNION ALL SELECT 'unknown', 1")
 def src_detect(spark, d):
     e = table(spark, d, "events").where("event_id < 60")
-    raw = [("a", F.to_json(F.struct("event_id", "event_type"))), ("b", F.concat(F.lit("["), _level(), F.lit("] "), "event_type")), ("c", F.col("event_type"))]
+    raw = [("a", F.to_json(F.struct("event_id", "event_type"))), ("b", F.concat(F.lit("["), _level(), F.lit("] "), "event_type")), ("c", F.col("user_id").cast("string"))]
     lines = None
     for name, line in raw:
         part = e.select(F.lit(name).alias("file"), F.col("event_id").alias("line_no"), line.alias("raw"))
@@ -249,12 +249,12 @@ def src_libtest_json(spark, d):
 
 @query(_TEST_LINES)
 def src_pytest(spark, d):
-    return test_output.parse(_runs(spark, d, F.concat(_case(), F.lit(" "), _status("PASSED", "FAILED", "SKIPPED")))).select("run_id", "name", "status")
+    return test_output.parse(_runs(spark, d, F.concat(_case(), F.lit(" "), _status("PASSED", "FAILED", "SKIPPED"))), "pytest").select("run_id", "name", "status")
 
 
 @query(_TEST_LINES)
 def src_gotest(spark, d):
-    return test_output.parse(_runs(spark, d, F.concat(F.lit("--- "), _status("PASS", "FAIL", "SKIP"), F.lit(": "), _case(), F.lit(" (0.00s)")))).select("run_id", "name", "status")
+    return test_output.parse(_runs(spark, d, F.concat(F.lit("--- "), _status("PASS", "FAIL", "SKIP"), F.lit(": "), _case(), F.lit(" (0.00s)"))), "gotest").select("run_id", "name", "status")
 
 
 @query(_TEST_LINES)
@@ -337,10 +337,22 @@ def nq_arcs(spark, d):
     return prose.arcs(_deeds(spark, d)).select("name", "total", F.round("peak", 6).alias("peak"), "shape")
 
 
-@query("""WITH o AS (SELECT 'c' || o_custkey AS name, (row_number() OVER w - 1) / count(*) OVER (PARTITION BY o_custkey) AS p FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+@query("""WITH o AS (SELECT 'c' || o_custkey AS name, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) / 2500.0 AS p FROM orders)
 SELECT name, count(*) FILTER (WHERE p < 0.5) AS early, count(*) FILTER (WHERE p >= 0.5) AS late FROM o GROUP BY name HAVING count(*) FILTER (WHERE p < 0.5) BETWEEN 1 AND 2 AND count(*) FILTER (WHERE p >= 0.5) >= 4""")
 def nq_foreshadowing(spark, d):
-    return prose.foreshadowing(_deeds(spark, d)).select("name", "early", "late")
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
+    mentions = table(spark, d, "orders").select(F.lit("all").alias("doc_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name"), (days / 2500.0).alias("position"))
+    return prose.foreshadowing(mentions).select("name", "early", "late")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, 'c' || o_custkey AS x, lower('c' || (o_custkey % 7)) AS y, o_orderpriority AS lemma, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) / 2500.0 AS p FROM orders),
+n AS (SELECT least(x, y) AS a, greatest(x, y) AS b, p FROM o WHERE x <> y)
+SELECT a, b, count(*) AS times, CASE WHEN count(*) < 3 THEN 'brief' WHEN max(p) < 0.8 THEN 'resolving' WHEN count(*) FILTER (WHERE p >= 0.5) > count(*) FILTER (WHERE p < 0.5) THEN 'escalating' ELSE 'stable' END AS trend FROM n GROUP BY a, b""")
+def nq_conflicts(spark, d):
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
+    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    deeds = table(spark, d, "orders").select(F.lit("all").alias("doc_id"), name(F.col("o_custkey")).alias("agent"), name(F.col("o_custkey") % 7).alias("patient"), F.col("o_orderpriority").alias("lemma"), (days / 2500.0).alias("position"))
+    return prose.conflicts(deeds).select("a", "b", "times", "trend")
 
 
 @query()
@@ -351,7 +363,7 @@ def nq_scenes(spark, d):
     return prose.scenes(paras.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
-@query("SELECT 'lines' AS kind, sum(n) AS total FROM (SELECT len(string_split(text, chr(10))) AS n FROM documents) t UNION ALL SELECT 'files', count(*) FROM documents")
+@query("SELECT 'lines' AS kind, CAST(sum(n) AS BIGINT) AS total FROM (SELECT len(string_split(text, chr(10))) AS n FROM documents) t UNION ALL SELECT 'files', count(*) FROM documents")
 def nq_corpus(spark, d):
     files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("doc_id").alias("ord"), F.size(F.split("text", "\n")).alias("lines"), F.lit(1).alias("paras"))
     last = prose.corpus_offsets(files).join(files.select("file", "lines"), "file").agg(F.max(F.col("line_offset") + F.col("lines")).alias("lines"), F.max("para_hi").alias("files"))
