@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from .common import Words, chunks, ensure_columns, group_bounds, mix, range_within, text_bytes
 
 SAMPLE_DOCS = 150  # labelled rows a language that training reads: the bound of the sample
+MAX_LANGUAGES = 64  # training knows the most frequent values of lang: with SAMPLE_DOCS the bound of the sample
 LEXICON = 300  # most frequent words of each language's sample
 BUCKETS = 1 << 15
 UND = "und"
@@ -260,10 +261,12 @@ def _train(texts: dict[str, list[str]], seed: int = 7, batches: int = 240, lanes
     return model
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 7) -> Model | None:
-    """Train on at most sample_docs rows of each value of column lang: those whose doc_id hashes
-    lowest. None where no row has a label and a text."""
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 7, max_languages: int = MAX_LANGUAGES) -> Model | None:
+    """Train on at most sample_docs rows of each of the max_languages most frequent values of column
+    lang: those whose doc_id hashes lowest. None where no row has a label and a text."""
     docs = ensure_columns(docs, doc_id="bigint", text="string", lang="string").where("lang is not null and doc_id is not null and text is not null")
+    langs = [r["lang"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    docs = docs.where(F.col("lang").isin(langs)) if langs else docs
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = docs.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_docs)
     chosen = sorted({r[0] for r in ids.select("doc_id").collect()})

@@ -136,6 +136,11 @@ def test_language_held_out_and_code_switched(spark):
     assert not junk.keep
 
 
+def test_training_bounds(spark):
+    docs = spark.createDataFrame([(i, "some words here", f"l{i % 5 if i % 2 else 0}") for i in range(40)], "doc_id bigint, text string, lang string")
+    assert language_id.fit(docs, sample_docs=3, max_languages=2).labels[0] == "l0" and len(language_id.fit(docs, sample_docs=3, max_languages=2).labels) == 3
+
+
 # HTML
 
 
