@@ -238,7 +238,7 @@ def _case():
 
 @query(_TEST_LINES)
 def src_libtest(spark, d):
-    return test_output.parse(_runs(spark, d, F.concat(F.lit("test "), _case(), F.lit(" ... "), _status("ok", "FAILED", "ignored")))).select("run_id", "name", "status")
+    return test_output.parse(_runs(spark, d, F.concat(F.lit("test "), _case(), F.lit(" ... "), _status("ok", "FAILED", "ignored"))), "libtest").select("run_id", "name", "status")
 
 
 @query(_TEST_LINES)
