@@ -52,9 +52,7 @@ ROLES = {
     "transfer": {"nsubj": "agent", "nsubj:p": "theme", "dobj": "theme", "iobj": "recipient", "agent": "agent"},
     **{c: {"nsubj": "experiencer", "dobj": "theme"} for c in ("cognition", "emotion", "perception", "stative")},
 }
-_PREPOSITION_ROLES = {"with": "instrument", "by": "agent", "for": "beneficiary", "to": "goal", "into": "goal", "from": "source", "in": "location", "at": "location", "on": "location"}
 CHARACTER_LABELS = ("PERSON", "ORG", "NORP")
-PLACE_LABELS = ("GPE", "LOC", "FAC")
 MOVES = frozenset(VERB_CLASS[v] == "motion" and v for v in VERB_CLASS) - {False}
 
 
