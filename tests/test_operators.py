@@ -475,3 +475,9 @@ def test_number_nodes(spark):
 
 def test_no_pairs_lost():
     assert list(itertools.pairwise(lp.LEVELS))[0] == ("trace", "debug")
+
+
+def test_appositions_and_prepositions(spark):
+    s = tokens(("Ann", "Ann", "PROPN", "nsubj", 3), ("the", "the", "DET", "det", 2), ("pilot", "pilot", "NOUN", "appos", 0), ("flew", "fly", "VERB", "ROOT", 3), ("to", "to", "ADP", "prep", 3), ("Rome", "Rome", "PROPN", "pobj", 4))
+    df = spark.createDataFrame([("d", 0, *t.values()) for t in s], "doc_id string, sent int, idx int, text string, lemma string, pos string, dep string, head int")
+    assert sorted((r.kind, r.text, r.of) for r in prose.sides(df).collect()) == [("alias", "the pilot", "Ann"), ("goal", "Rome", "fly")]
