@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20  # text that numpy takes at once; temporaries are some ten times this
+CHUNK_BYTES = 2 << 20  # text that numpy takes at once; temporaries are some ten times this
 FLUSH_BYTES = 24 << 20  # packed entries that a task holds before it emits its blobs
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 12, 13, 32]] = True  # what \s means to RE2, so that SQL splits alike
