@@ -7,7 +7,9 @@ lexicons; learned transitions tie neighbours together; forward-backward gives ea
 Features are computed once for each distinct word of a chunk. The chain runs over all texts of a
 chunk at once: the words are cut to equal stretches, the stretches' transfer matrices are multiplied
 out side by side, which gives what enters each stretch from either end, and then all stretches run
-forward and backward together. This is exact: a text's first word merely restarts the chain.
+forward and backward together. This is exact: a text's first word merely restarts the chain. As
+transfer matrices take the cube of the number of labels, with many labels the texts themselves run
+side by side instead.
 """
 
 from __future__ import annotations
@@ -22,15 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, chunks, ensure_columns, group_bounds, mix, range_within, text_bytes
+from .common import CHUNK_BYTES, Words, chunks, ensure_columns, group_bounds, mix, range_within, text_bytes
 
 SAMPLE_DOCS = 150  # labelled rows a language that training reads: the bound of the sample
-MAX_LANGUAGES = 64  # training knows the most frequent values of lang: with SAMPLE_DOCS the bound of the sample
+SAMPLE_ROWS = 64 * SAMPLE_DOCS  # bound of the whole sample; beyond 64 languages each has fewer rows, 1 at least
 LEXICON = 300  # most frequent words of each language's sample
 BUCKETS = 1 << 15
 UND = "und"
 MAX_UNKNOWN = 0.5  # a text with more than this share of `und` words is rejected
 STRETCH = 256
+MANY_LABELS = 64  # beyond these, texts are the lanes
+FEW_LABELS = 16  # beyond these, less text is taken at once
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -99,14 +103,15 @@ class Model:
             return out
         size = np.concatenate([[0], np.cumsum(_LETTER[buf])])
         letters = size[end] > size[start]
-        for i in range(0, len(start), 50_000):
-            s = slice(i, i + 50_000)
+        at_once = max(50_000 * FEW_LABELS // max(FEW_LABELS, len(self.labels)), 1)
+        for i in range(0, len(start), at_once):
+            s = slice(i, i + at_once)
             feature, at, whole = word_features(buf, start[s], end[s])
             out[s] = np.add.reduceat(self.weights[feature], at, axis=0)
             if len(self.lexicon):
                 k = np.minimum(np.searchsorted(self.lexicon, whole), len(self.lexicon) - 1)
                 known = self.lexicon[k] == whole
-                out[s][known] += self.members[k[known]] @ self.weights[BUCKETS:]
+                out[s][known] += self.members[k[known]].astype(np.float32) @ self.weights[BUCKETS:]
         out[~letters] = 0
         return out
 
@@ -115,6 +120,8 @@ class Model:
         n, k = len(code), len(self.labels)
         if not n:
             return np.zeros((0, k), np.float32)
+        if k > MANY_LABELS:
+            return self._by_texts(score, code, starts)
         steps = min(STRETCH, max(1, int(np.sqrt(n))))
         lanes = -(-n // steps)
         e = np.ones((lanes * steps, k), np.float32)
@@ -163,6 +170,34 @@ class Model:
         out /= out.sum(2, keepdims=True)
         return out.reshape(-1, k)[:n]
 
+    def _by_texts(self, score: np.ndarray, code: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """posteriors() with a lane for each text, the longest first."""
+        k, first = len(self.labels), np.unique(np.concatenate([[0], starts[starts < len(code)]]))
+        length = np.diff(np.concatenate([first, [len(code)]]))
+        order = np.argsort(-length, kind="stable")
+        first, length = first[order], length[order]
+        lanes = np.searchsorted(-length, -np.arange(length[0]), "left")  # texts with more than so many words
+        e = np.exp(score - score.max(1, keepdims=True))
+        a, pi = np.exp(self.transitions).astype(np.float32), np.exp(self.first).astype(np.float32)
+        a, pi = a / a.sum(), pi / pi.sum()
+        out = np.empty((len(code), k), np.float32)
+        v = np.broadcast_to(pi, (len(first), k))
+        for s, n in enumerate(lanes):
+            at = first[:n] + s
+            v = (v[:n] @ a if s else v) * e[code[at]]
+            v /= v.sum(1, keepdims=True)
+            out[at] = v
+        w = np.full((len(first), k), 1 / k, np.float32)
+        back = np.ascontiguousarray(a.T)
+        for s in range(len(lanes) - 1, -1, -1):
+            n = lanes[s]
+            at = first[:n] + s
+            out[at] *= w[:n]
+            x = (w[:n] * e[code[at]]) @ back
+            w[:n] = x / x.sum(1, keepdims=True)
+        out /= out.sum(1, keepdims=True)
+        return out
+
 
 def _noise(rng: np.random.Generator, n: int) -> list[bytes]:
     """Words of no language: hexadecimal and letter salad, symbols, other scripts."""
@@ -171,10 +206,12 @@ def _noise(rng: np.random.Generator, n: int) -> list[bytes]:
 
 
 def _train(texts: dict[str, list[str]], seed: int = 7, batches: int = 240, lanes: int = 64, length: int = 32, rate: float = 0.25) -> Model:
-    """Fit on texts by language. Sequences are spliced from them, so that switches are seen."""
+    """Fit on texts by language. Sequences are spliced from them, so that switches are seen; each 64
+    languages take as many batches more, so that each language is seen as often."""
     rng = np.random.default_rng(seed)
     labels = [*sorted(texts), UND]
     k = len(labels)
+    batches *= max(1, -(-(k - 1) // 64))
     streams = []
     for lang in labels[:-1]:
         streams.append([w for t in texts[lang] for w in t.encode().split()] or [b"-"])
@@ -193,9 +230,9 @@ def _train(texts: dict[str, list[str]], seed: int = 7, batches: int = 240, lanes
         top = np.argsort(-count, kind="stable")[:LEXICON]
         tops.append(np.unique(whole[top[count[top] > 1]]))
     lexicon = np.unique(np.concatenate(tops)) if tops else np.zeros(0, np.uint64)
-    members = np.zeros((len(lexicon), k - 1), np.float32)
+    members = np.zeros((len(lexicon), k - 1), bool)
     for i, t in enumerate(tops):
-        members[np.isin(lexicon, t), i] = 1
+        members[np.isin(lexicon, t), i] = True
     model = Model(labels, np.zeros((BUCKETS + k - 1, k), np.float32), np.eye(k) * 2.0, np.zeros(k), lexicon, members)
     seen = np.full_like(model.weights, 1e-2)
     trans_seen = np.full((k, k), 1e-2)
@@ -239,11 +276,12 @@ def _train(texts: dict[str, list[str]], seed: int = 7, batches: int = 240, lanes
             beta[:, s] = v / v.sum(1, keepdims=True)
         post = alpha * beta
         post /= post.sum(2, keepdims=True)
-        pair = alpha[:, :-1, :, None] * a * (beta * e)[:, 1:, None, :]
-        pair /= pair.sum((2, 3), keepdims=True)
+        after = (beta * e)[:, 1:].reshape(-1, k)
+        before = alpha[:, :-1].reshape(-1, k)
+        pair = a * ((before / ((before @ a) * after).sum(1, keepdims=True)).T @ after)
         real = np.zeros((k, k))
         np.add.at(real, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-        step = (real - pair.sum((0, 1))) / lanes
+        step = (real - pair) / lanes
         trans_seen += step**2
         model.transitions += rate * step / np.sqrt(trans_seen)
         by_word = np.zeros((len(used), k))
@@ -261,25 +299,36 @@ def _train(texts: dict[str, list[str]], seed: int = 7, batches: int = 240, lanes
     return model
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 7, max_languages: int = MAX_LANGUAGES) -> Model | None:
-    """Train on at most sample_docs rows of each of the max_languages most frequent values of column
-    lang: those whose doc_id hashes lowest. None where no row has a label and a text."""
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 7, max_languages: int | None = None, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+    """Train on every value of column lang (with max_languages, on the most frequent ones): on at most
+    sample_docs rows of each, and fewer where all together would pass sample_rows, but never none:
+    those whose doc_id hashes lowest. None where no row has a label and a text."""
     docs = ensure_columns(docs, doc_id="bigint", text="string", lang="string").where("lang is not null and doc_id is not null and text is not null")
-    langs = [r["lang"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    docs = docs.where(F.col("lang").isin(langs)) if langs else docs
+    if max_languages is None:
+        count = docs.select("lang").distinct().count()
+    else:
+        langs = [r["lang"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+        docs, count = docs.where(F.col("lang").isin(langs)) if langs else docs, len(langs)
+    sample_docs = max(1, min(sample_docs, sample_rows // max(count, 1)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = docs.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_docs)
     chosen = sorted({r[0] for r in ids.select("doc_id").collect()})
     if not chosen:
         return None
+    # an id may have many rows: each language's own are counted, so that none is crowded out
+    own = Window.partitionBy("lang").orderBy("doc_id", "h")
+    found = docs.where(F.col("doc_id").isin(chosen)).withColumn("h", F.xxhash64("text")).withColumn("place", F.row_number().over(own))
     texts: dict[str, list[str]] = {}
-    rows = docs.where(F.col("doc_id").isin(chosen)).orderBy("doc_id", F.xxhash64("text")).limit(2 * len(chosen)).collect()
-    for r in rows:
-        if len(texts.setdefault(r["lang"], [])) < sample_docs:
-            texts[r["lang"]].append(r["text"])
+    for r in found.where(F.col("place") <= sample_docs).orderBy("doc_id", "h").collect():
+        texts.setdefault(r["lang"], []).append(r["text"])
     return _train(texts, seed)
 
 
+def _at_once(model: Model | None) -> int:
+    """Bytes of text to take at once: what is held for them grows with the labels."""
+    return CHUNK_BYTES * FEW_LABELS // max(FEW_LABELS, len(model.labels) if model else 0)
+
+
 def label_words(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(posteriors of each word, has the word letters)."""
     buf = _folded(words.buf)
@@ -325,7 +374,7 @@ def identify(docs: DataFrame, model: Model | None = None, max_unknown: float = M
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
+        for b in chunks(batches, most=_at_once(shared.value)):
             words = Words(*text_bytes(b.column("text")))
             got = judge(shared.value, words, max_unknown)
             label = got["label"]
@@ -356,7 +405,7 @@ def keep_known(docs: DataFrame, model: Model | None = None, max_unknown: float =
         return docs.limit(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
+        for b in chunks(batches, most=_at_once(shared.value)):
             yield b.filter(pa.array(judge(shared.value, Words(*text_bytes(b.column("text"))), max_unknown)["keep"]))
 
     return docs.mapInArrow(run, docs.schema)

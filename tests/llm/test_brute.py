@@ -141,6 +141,35 @@ def test_training_bounds(spark):
     assert language_id.fit(docs, sample_docs=3, max_languages=2).labels[0] == "l0" and len(language_id.fit(docs, sample_docs=3, max_languages=2).labels) == 3
 
 
+def test_every_language_is_learned(spark):
+    """More languages than 64: the rare ones are labelled as themselves and kept, the sample is bounded by rows."""
+    r = random.Random(5)
+    rows = []
+    for lang in range(70):
+        vocab = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(4, 9))) for _ in range(40)]
+        rows += [(len(rows) + i, " ".join(r.choice(vocab) for _ in range(60)), f"l{lang:02}") for i in range(4 if lang < 64 else 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.labels == [*(f"l{i:02}" for i in range(70)), "und"]
+    out = {x.doc_id: x for x in language_id.identify(docs, model).collect()}
+    assert all(out[i].language == lang and out[i].keep for i, _, lang in rows)
+    assert language_id.keep_known(docs, model).count() == len(rows)
+    assert len(language_id.fit(docs.where("lang < 'l03'"), sample_rows=2).labels) == 4
+
+
+def test_shared_ids_crowd_out_no_language(spark):
+    rows = [(1, f"many words {i}", "aa") for i in range(9)] + [(2, "other words", "bb")]
+    assert language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_docs=2).labels == ["aa", "bb", "und"]
+
+
+def test_texts_as_lanes_give_the_same():
+    rng = np.random.default_rng(3)
+    k, n, starts = 5, 300, np.array([0, 1, 90, 97, 250])
+    m = language_id.Model([*"abcde"], np.zeros((1, k)), rng.standard_normal((k, k)), rng.standard_normal(k), np.zeros(0), np.zeros(0))
+    score, code = rng.standard_normal((40, k)).astype(np.float32), rng.integers(40, size=n)
+    np.testing.assert_allclose(m._by_texts(score, code, starts), m.posteriors(score, code, starts), rtol=1e-4, atol=1e-5)
+
+
 # HTML
 
 
