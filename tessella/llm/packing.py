@@ -6,8 +6,9 @@ documents is least: f(j) = min over i with S(j)-S(i) <= capacity of f(i) + capac
 penalty(j). As f(i)+S(i) is minimised over a sliding range of i, a monotone queue finds each minimum
 in constant time, so a block takes time linear in its sentences.
 
-A block is a fixed range of doc_id, so the windows don't depend on the partitioning; a window always
-ends with its block, which costs half a window of padding a block on average. Only sentence lengths
+A block is a fixed number of distinct doc_ids in order, whatever their values, so the windows don't
+depend on the partitioning; a window always ends with its block, which costs half a window of padding
+a block on average. Only sentence lengths
 are exchanged, never texts: a window is a list of pieces (doc_id, start_word, n_words).
 """
 
@@ -18,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Words, chunks, ensure_columns, text_bytes
+from .common import Words, chunks, ensure_columns, partitions, text_bytes
 
 CAPACITY, BLOCK = 2048, 2048
 SENTENCE_PENALTY, HARD_PENALTY = 32, 256
@@ -86,6 +87,19 @@ def _units(words: Words, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return length.astype(np.int32), whole, np.bincount(doc, minlength=len(words.first) - 1)
 
 
+def block_starts(docs: DataFrame, block: int) -> np.ndarray:
+    """The first doc_id of each block: every block-th of the distinct ids in order."""
+    ids = docs.where("doc_id is not null").select("doc_id")
+    n = partitions(docs.sparkSession)
+    bounds = sorted(set(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.01))) if n > 1 else []
+    ranges = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("doc_id").cast("double"))) if bounds else F.lit(0)
+    ids = ids.distinct().withColumn("range", ranges)
+    count = {r["range"]: r["count"] for r in ids.groupBy("range").count().collect()}
+    before = np.cumsum([0, *[count.get(i, 0) for i in range(len(bounds))]]).tolist()
+    place = F.array(*[F.lit(x).cast("bigint") for x in before])[F.col("range")] + F.row_number().over(Window.partitionBy("range").orderBy("doc_id")) - 1
+    return np.array(sorted(r[0] for r in ids.withColumn("place", place).where(F.col("place") % block == 0).select("doc_id").collect()), np.int64)
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, sentence_penalty: int = SENTENCE_PENALTY, hard_penalty: int = HARD_PENALTY) -> DataFrame:
     """(block, window, piece, doc_id, start_word, n_words, padding): the pieces of each window in order.
 
@@ -95,6 +109,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, sentence
     Texts that are null or have no word are in no window. Rows with a null doc_id form a block of
     their own; rows that share a doc_id stand next to each other, shorter first, and each is packed.
     An empty table gives no rows; other columns are ignored."""
+    docs = ensure_columns(docs, doc_id="bigint", text="string")
+    starts = block_starts(docs, block)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -105,7 +121,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, sentence
             blobs = [rec[e - c : e].tobytes() for c, e in zip(count, cut)]
             keep = pa.array(count > 0)
             ids = b.column("doc_id")
-            out = pa.RecordBatch.from_arrays([pc.cast(pc.floor(pc.divide(pc.cast(ids, pa.float64(), safe=False), float(block))), pa.int64()), ids, pa.array(words.count, pa.int64()), pa.array(blobs, pa.binary())], ["block", "doc_id", "n", "units"])
+            at = np.searchsorted(starts, ids.fill_null(0).to_numpy(zero_copy_only=False), "right") - 1
+            out = pa.RecordBatch.from_arrays([pa.array(at, pa.int64(), mask=ids.is_null().to_numpy(zero_copy_only=False)), ids, pa.array(words.count, pa.int64()), pa.array(blobs, pa.binary())], ["block", "doc_id", "n", "units"])
             yield out.filter(keep)
 
     def windows(group: pa.Table) -> pa.Table:
@@ -134,7 +151,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, sentence
             "start_word": before[at] - doc_start, "n_words": n_words, "padding": capacity - used[w],
         })
 
-    lengths = ensure_columns(docs, doc_id="bigint", text="string").mapInArrow(measure, "block bigint, doc_id bigint, n bigint, units binary")
+    lengths = docs.mapInArrow(measure, "block bigint, doc_id bigint, n bigint, units binary")
     return lengths.groupBy("block").applyInArrow(windows, "block bigint, window bigint, piece bigint, doc_id bigint, start_word bigint, n_words bigint, padding bigint")
 
 

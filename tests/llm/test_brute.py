@@ -100,6 +100,16 @@ def test_packing_is_optimal_and_whole(spark):
         assert spent == cost
 
 
+def test_packing_takes_sparse_ids_like_dense_ones(spark):
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["aa", "b.", "d!"]) for _ in range(r.randint(1, 30))) for _ in range(70)]
+    ids = sorted({r.randrange(-(2**62), 2**62) for _ in range(68)}) + [2**62 + 1, 2**62 + 2]
+    sparse = spark.createDataFrame([(i, t) for i, t in zip(ids, texts)], "doc_id bigint, text string").repartition(5)
+    got = sorted((x.block, x.window, x.piece, ids.index(x.doc_id), x.start_word, x.n_words, x.padding) for x in packing.pack(sparse, capacity=40, block=16).collect())
+    assert got == sorted(tuple(x) for x in packing.pack(frame(spark, texts), capacity=40, block=16).collect())
+    assert len({x[0] for x in got}) == 5
+
+
 # Language ID
 
 
