@@ -51,3 +51,10 @@ def test_entry_points(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["bucket", "count", "window"]
+
+
+def test_detection_reads_the_whole_table(spark, tmp_path):
+    """Ids that don't begin at 0: an id subset would find no lines."""
+    events = spark.read.parquet(f"{FOLDER}/events.parquet")
+    events.withColumn("event_id", events["event_id"] + 1000).write.parquet(f"{tmp_path}/events.parquet")
+    assert {tuple(r) for r in queries.QUERIES["src_detect"](spark, str(tmp_path)).collect()} == {("bracket", 1), ("json", 1), ("unknown", 1)}
