@@ -119,10 +119,24 @@ def aq_pages(spark, d):
     return tree.compile("desc:a | {text: children | @text, line: @line}", tree.build(pages, "html"))
 
 
+def _page_nodes(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
+    return tree.build(pages)
+
+
+@query()
+def aq_parse_metrics(spark, d):
+    return tree.parse_metrics(_page_nodes(spark, d))
+
+
 @query()
 def aq_skeleton(spark, d):
-    pages = table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
-    return tree.parse_metrics(tree.build(pages))
+    return tree.skeleton(_page_nodes(spark, d))
+
+
+@query()
+def aq_signatures(spark, d):
+    return tree.signatures(_page_nodes(spark, d))
 
 
 @query("SELECT event_id, octet_length(CAST(event_type AS BLOB)) AS length, upper(event_type) AS up, reverse(event_type) AS back, contains(event_type, 'ick') AS has_ick FROM events")

@@ -58,3 +58,11 @@ def test_detection_reads_the_whole_table(spark, tmp_path):
     events = spark.read.parquet(f"{FOLDER}/events.parquet")
     events.withColumn("event_id", events["event_id"] + 1000).write.parquet(f"{tmp_path}/events.parquet")
     assert {tuple(r) for r in queries.QUERIES["src_detect"](spark, str(tmp_path)).collect()} == {("bracket", 1), ("json", 1), ("unknown", 1)}
+
+
+def test_skeleton_queries_return_what_they_are_named_after(spark):
+    got = {x: queries.QUERIES[x](spark, FOLDER) for x in ("aq_skeleton", "aq_signatures", "aq_parse_metrics")}
+    assert got["aq_skeleton"].columns == ["tree_id", "imports", "declarations"]
+    assert got["aq_signatures"].columns == ["tree_id", "node_id", "type", "name", "params", "return_type", "line", "lines"]
+    assert got["aq_parse_metrics"].columns == ["tree_id", "named", "errors", "missing", "confidence"]
+    assert got["aq_skeleton"].count() == spark.read.parquet(f"{FOLDER}/pages.parquet").where("html is not null").count()
