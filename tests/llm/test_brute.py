@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -363,20 +364,96 @@ def test_quality_rejects_what_was_planted_and_resists_masking(spark):
     assert len(kept & set(range(400))) >= 396 and not kept - set(range(400))
 
 
-def test_concentration_matches_direct_steps(spark):
-    """The estimate by binned aggregation is near the plain one, over sorted distances."""
+def direct_mcd(x, target):
+    """Regularised MCD over sorted distances: (centre, scatter)."""
+    d, h = x.shape[1], int(np.ceil(quality.SUPPORT * len(x)))
+    centre = np.median(x, 0)
+    scale = np.maximum((np.quantile(x, 0.75, 0) - np.quantile(x, 0.25, 0)) / 1.349, np.sqrt(quality.RHO * target))
+    z = (x - centre) / scale
+    best = None
+    for s in quality.starting_scatters(scale, np.cov(np.tanh(z).T, bias=True), np.cov((z / np.linalg.norm(z, axis=1, keepdims=True)).T, bias=True)):
+        m, before = centre, None
+        for _ in range(40):
+            near = x[np.argsort(np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(s), x - m), kind="stable")[:h]]
+            m, s = near.mean(0), quality.regularised(quality.consistency(quality.SUPPORT, d) * np.cov(near.T, bias=True), target)
+            det = np.linalg.slogdet(s)[1]
+            if before is not None and before - det < 1e-9:
+                break
+            before = det
+        if best is None or det < best[0]:
+            best = det, m, s
+    _, m, s = best
+    near = x[np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(s), x - m) <= quality.chi2_quantile(quality.WITHIN, d)]
+    return near.mean(0), quality.regularised(quality.consistency(quality.WITHIN, d) * np.cov(near.T, bias=True), target)
+
+
+def vectors(spark, x):
+    return spark.createDataFrame([("e", *map(float, v)) for v in x], "e string, " + ", ".join(f"x{i} double" for i in range(x.shape[1])))
+
+
+def test_mcd_matches_direct_steps(spark):
+    """The estimate by binned aggregation is near that over sorted distances, and a far fifth doesn't move it."""
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.standard_normal((700, 8)) * 0.4 + 1, rng.standard_normal((100, 8)) * 0.1 + 9])
-    df = spark.createDataFrame([("e", *map(float, v)) for v in x], "e string, " + ", ".join(f"x{i} double" for i in range(8)))
-    p = quality.estimates(df, 8).first()
-    centre, inverse = np.median(x, 0), np.diag(1 / np.maximum(((np.quantile(x, 0.75, 0) - np.quantile(x, 0.25, 0)) / 1.349) ** 2, quality.FLOOR**2))
-    for _ in range(8):
-        d = np.einsum("ni,ij,nj->n", x - centre, inverse, x - centre)
-        kept = x[np.argsort(d)[: int(len(x) * quality.SUPPORT)]]
-        centre, cov = kept.mean(0), np.cov(kept.T, bias=True) * 1.5
-        inverse = np.linalg.inv(cov + np.diag(np.maximum(quality.FLOOR**2 - np.diag(cov), 0)))
-    np.testing.assert_allclose([p[f"m{i}"] for i in range(8)], centre, atol=0.03)
-    assert abs(p["m0"] - 1) < 0.1  # the far eighth didn't move it
+    mixing_ = rng.standard_normal((7, 7)) * 0.3 + np.eye(7)
+    x = np.concatenate([rng.standard_normal((800, 7)) @ mixing_ + 1, rng.standard_normal((200, 7)) * 0.1 + 9])
+    p = quality.estimates(vectors(spark, x), x.var(0)).first()
+    centre, scatter = direct_mcd(x, x.var(0))
+    np.testing.assert_allclose([p[f"m{i}"] for i in range(7)], centre, atol=0.02)
+    got = np.array([[p[f"p{min(i, j)}_{max(i, j)}"] for j in range(7)] for i in range(7)])
+    np.testing.assert_allclose(np.linalg.inv(got), scatter, atol=0.05 * np.abs(scatter).max())
+    assert np.abs(centre - x[:800].mean(0)).max() < 0.1
+
+
+def test_scatter_decides(spark):
+    """Two vectors at one distance from the centre in every statistic: only the one against the correlation is far."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((1000, 7))
+    x[:, 1] = x[:, 0] + 0.05 * x[:, 1]
+    p = quality.estimates(vectors(spark, x), x.var(0) * 0.02).first()
+    inverse = np.array([[p[f"p{min(i, j)}_{max(i, j)}"] for j in range(7)] for i in range(7)])
+    along, against = np.array([2.0, 2, 0, 0, 0, 0, 0]), np.array([2.0, -2, 0, 0, 0, 0, 0])
+    cut = quality.chi2_quantile(quality.QUANTILE, 7)
+    assert along @ inverse @ along < cut < against @ inverse @ against
+
+
+def test_quality_query_against_brute_force(spark):
+    """score() over documents of several groups, small ones among them, against the direct estimate."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    n, x = quality.statistics(*common.text_bytes(pa.array([r.text for r in rows])))
+    some, target = n > 0, x[n > 0].var(0)
+    narrow, wide = np.array([f"{r.lang}/{r.source}" for r in rows]), np.array([str(r.lang) for r in rows])
+    got = {r.doc_id: r.distance for r in quality.score(docs).collect()}
+    far = quality.chi2_quantile(quality.QUANTILE, 7)
+    agree = close = 0
+    for i, r in enumerate(rows):
+        if not some[i]:
+            assert got[r.doc_id] is None
+            continue
+        group = some & (narrow == narrow[i])
+        if group.sum() < quality.LEAST_GROUP:
+            group = some & (wide == wide[i])
+        if group.sum() < quality.LEAST_GROUP:
+            group = some
+        centre, scatter = _cached(("mcd", group.tobytes()), lambda g=group: direct_mcd(x[g], target))
+        d = (x[i] - centre) @ np.linalg.inv(scatter) @ (x[i] - centre)
+        agree += (d > far) == (got[r.doc_id] > far)
+        close += abs(np.sqrt(d) - np.sqrt(got[r.doc_id])) < 0.15 * np.sqrt(d) + 0.15
+    assert agree >= 0.98 * some.sum() and close >= 0.9 * some.sum()
+
+
+_CACHE: dict = {}
+
+
+def _cached(key, make):
+    if key not in _CACHE:
+        _CACHE[key] = make()
+    return _CACHE[key]
+
+
+def test_chi_square():
+    assert abs(quality.chi2_quantile(0.95, 7) - 14.0671) < 1e-3 and abs(quality.chi2_cdf(3.325, 9) - 0.05) < 1e-3
+    assert quality.chi2_cdf(0, 7) == 0 and quality.chi2_cdf(1e6, 7) == 1
 
 
 def test_mixing_totals_are_exact_and_fair(spark):
