@@ -329,8 +329,9 @@ def test_perfect_hash(seed):
     assert sorted(h.index(keys).tolist()) == list(range(len(keys)))
 
 
-@pytest.mark.parametrize("resident", [1 << 20, -1])
-def test_lines(spark, resident):
+@pytest.mark.parametrize("resident,hot", [(1 << 20, 500_000), (-1, 500_000), (-1, 1), (-1, 4)])
+def test_lines(spark, monkeypatch, resident, hot):
+    monkeypatch.setattr(line_dedup, "HOT_LINES", hot)
     r = random.Random(8)
     texts = ["\n".join(r.choice(["same", "other", " ", "", f"own {i} {k}"]) for k in range(r.randint(0, 9))) for i in range(40)]
     lines = [t.split("\n") for t in texts]
@@ -352,6 +353,23 @@ def test_lines(spark, resident):
     assert got == want
 
 
+def test_counts_saturate():
+    row = line_dedup._build_shard(np.array([5, 6], np.uint64), np.array([1 << 33, 1]), np.array([3, 4]), 10, 1 << 40)
+    shard = line_dedup.Shard(dict(zip(("sizes", "words", "rest", "prints", "counts", "owners"), row)), 10)
+    many, owner = shard.probe(np.array([5, 6], np.uint64))
+    assert many.tolist() == [True, False] and owner[0] == 3
+
+
+@pytest.mark.parametrize("resident", [1 << 20, -1])
+def test_frequent_lines_and_very_long_ones(spark, resident):
+    """A line in every document, a line of a million signs, a text of 30,000 lines: the first keeps each."""
+    long = "x" * 1_000_000
+    texts = ["every\n" + long + f"\nown {i}" for i in range(12)] + ["every\n" * 30_000 + "end"]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, texts).repartition(3), 2, resident).collect()}
+    assert out[0].text == texts[0] and all(out[i].text == f"own {i}" for i in range(1, 12))
+    assert out[12].text == "\nend"[1:] and out[12].n_dropped == 30_000 and out[12].n_lines == 30_001
+
+
 # Quality and mixing
 
 
