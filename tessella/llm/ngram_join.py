@@ -7,9 +7,9 @@ fitting length has can't be shared, so only its number goes on, as the head of i
 most documents have prefixes of nothing else and leave at this point. The rest meet on prefix n-grams, pass length and positional
 filters, are reduced to one row a pair, and are verified once, behind a suffix filter.
 
-Documents with equal sets are one class. The result names a class by its least doc_id: a row
-(that, member, 1.0) for each other member, and a row for each verified pair of classes, whose
-similarity is that of any two of their members. So a thousand copies give 999 rows, not 499,500.
+Documents with equal sets have one key and are compared once, whatever their number. The result has one
+row a document: the class that links connect it with, and how many documents it is linked to. So rows
+grow with the documents, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Words, by_partition, chunks, drop_written, ensure_columns, exchange, group_bounds, mix, partitions, range_within, text_bytes, written
 
 N, THRESHOLD = 3, 0.5
-BLOCK = 256  # classes of one neighbourhood that are verified against one other such block
+BLOCK = 256  # sets of one neighbourhood that are verified against one other such block
 SIGNATURE = 64  # parts of a set whose sizes bound an overlap
 HELD = 2_600_000  # n-grams that a task holds before it sends them
 PART_BYTES = 20 << 20  # n-grams that meet in one task: small enough for its memory, large enough that classes have several in it
@@ -335,8 +335,8 @@ def overlaps(a: np.ndarray, b: np.ndarray, key: np.ndarray, size: np.ndarray, gr
     return live[ok], j[ok]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, names: DataFrame, t: float, count: int) -> DataFrame:
-    """(x, y, jaccard) of the pairs that are similar enough, x and y being the classes' least doc_ids.
+def _verified(pairs: DataFrame, sets: DataFrame, t: float, count: int) -> DataFrame:
+    """(a, b, jaccard) of the pairs of keys that are similar enough.
 
     Classes that share neighbours are verified together: a class belongs to the cell of its least
     neighbour, cells are cut to blocks, and a pair goes where its two blocks meet, so a set travels
@@ -349,46 +349,78 @@ def _verified(pairs: DataFrame, sets: DataFrame, names: DataFrame, t: float, cou
     buckets = 4 * count
     placed = placed.select("a", "b", F.expr(f"int(pmod(xxhash64(least(ba, bb), greatest(ba, bb)), {buckets}))").alias("site"))
     placed = written(placed, "ngram-sites")
-    needed = placed.select(F.col("site").alias("at"), F.col("a").alias("key")).unionAll(placed.select("site", "b")).distinct().join(names, "key").join(sets, "key")
+    needed = placed.select(F.col("site").alias("at"), F.col("a").alias("key")).unionAll(placed.select("site", "b")).distinct().join(sets, "key")
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = (left.column(c).to_numpy() for c in ("a", "b"))
         grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("grams")]
-        key, least = right.column("key").to_numpy(), right.column("least").to_numpy()
-        i, j = overlaps(a, b, key, right.column("size").to_numpy(), grams, t)
-        order = np.argsort(key)
-        x, y = (least[order[np.searchsorted(key[order], c[i])]] for c in (a, b))
-        return pa.table({"x": x, "y": y, "jaccard": j})
+        i, j = overlaps(a, b, right.column("key").to_numpy(), right.column("size").to_numpy(), grams, t)
+        return pa.table({"a": a[i], "b": b[i], "jaccard": j})
 
-    return placed.groupBy("site").cogroup(needed.groupBy("at")).applyInArrow(verify, "x bigint, y bigint, jaccard double")
+    return placed.groupBy("site").cogroup(needed.groupBy("at")).applyInArrow(verify, "a bigint, b bigint, jaccard double")
 
 
-def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, match_id, jaccard), doc_id < match_id; see the module for what a row stands for.
-
-    Words are runs without white space, compared as they are. A text of fewer than n words is one
-    n-gram; null texts and texts without words have none and match nothing. Rows with a null doc_id
-    are left out; rows that share a doc_id never match each other; repeated rows count once. An empty
-    table gives no rows. Other columns are ignored."""
-    count = min(partitions(docs.sparkSession), 60_000)
+def _joined(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, rid, key) of every document with n-grams, (a, b, jaccard) of similar keys), both written."""
+    spark = docs.sparkSession
     docs = ensure_columns(docs, doc_id="bigint", text="string").where("doc_id is not null and text is not null")
 
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             _, _, key, size = ngram_sets(Words(*text_bytes(b.column("text"))), n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key.view(np.int64)), pa.array(size)], ["doc_id", "key", "size"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(key.view(np.int64)), pa.array(size)], ["doc_id", "rid", "key", "size"])
 
-    members = written(docs.mapInArrow(classes, "doc_id bigint, key bigint, size bigint").where("size > 0"), "ngram-members")
-    names = members.groupBy("key").agg(F.min("doc_id").alias("least"))
-    equal = members.join(names, "key").where("doc_id > least").select(F.col("least").alias("doc_id"), F.col("doc_id").alias("match_id"), F.lit(1.0).alias("jaccard"))
+    members = written(docs.withColumn("rid", F.xxhash64("text")).mapInArrow(keys, "doc_id bigint, rid bigint, key bigint, size bigint").where("size > 0"), "ngram-members")
     grams = members.agg(F.sum("size")).first()[0] or 0
-    sets = _candidates_of(_shared_grams(docs, n, threshold, min(60_000, max(docs.sparkSession.sparkContext.defaultParallelism, -(-6 * grams // PART_BYTES)))), threshold)
+    parts = max(spark.sparkContext.defaultParallelism, -(-6 * grams // PART_BYTES))
+    count = max(partitions(spark), parts)
+    sets = _candidates_of(_shared_grams(docs, n, threshold, min(60_000, parts)), threshold)  # a partition's number takes 16 bits
     pairs = _candidate_pairs(sets, threshold, count)
-    near = _verified(pairs, sets, names, threshold, count)
+    near = written(_verified(pairs, sets, threshold, count), "ngram-near")
+    drop_written(pairs)
+    drop_written(sets)
+    return members.drop("size"), near
+
+
+def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, match_id, jaccard), doc_id < match_id, between representatives: equal n-gram sets are named
+    by their least doc_id, with a row (that, member, 1.0) for each other member and one for each pair of
+    similar sets. See similar_documents() for what is compared; rows that share a doc_id don't match."""
+    members, near = _joined(docs, n, threshold)
+    names = members.groupBy("key").agg(F.min("doc_id").alias("least"))
+    equal = members.join(names, "key").where("doc_id > least").select(F.col("least").alias("doc_id"), F.col("doc_id").alias("match_id"), F.lit(1.0).alias("jaccard"))
+    near = near.join(names.select(F.col("key").alias("a"), F.col("least").alias("x")), "a").join(names.select(F.col("key").alias("b"), F.col("least").alias("y")), "b")
     near = near.where("x <> y").select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("match_id"), "jaccard")
     return equal.unionByName(near).groupBy("doc_id", "match_id").agg(F.max("jaccard").alias("jaccard"))
 
 
+def _classes(members: DataFrame, near: DataFrame) -> DataFrame:
+    """(key, root): each key that is similar to another with the key that names all connected ones."""
+    return components(near.select("a", "b")).select(F.col("v").alias("key"), "root")
+
+
+def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links): a row for each document that is similar to another.
+
+    Two documents are linked if the Jaccard similarity of their n-gram sets is at least the threshold (a
+    similarity equal to it counts); links is how many others a document is linked to, copies among them
+    counted one by one. Links connect documents to classes; class_id is the least doc_id of a class.
+    Words are runs without white space, compared as they are. A text of fewer than n words is one
+    n-gram; null texts and texts without words have none and are linked to nothing; a very long text is
+    taken whole. Rows with a null doc_id are left out; rows that share a doc_id and an n-gram set count
+    once, with different sets they are documents of their own. An empty table gives no rows. Other
+    columns are ignored."""
+    members, near = _joined(docs, n, threshold)
+    members = members.select("doc_id", "key").distinct()
+    names = members.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    ends = near.select(F.col("a").alias("key"), F.col("b").alias("other")).unionAll(near.select("b", "a"))
+    linked = ends.join(names.select(F.col("key").alias("other"), "copies"), "other").groupBy("key").agg(F.sum("copies").alias("others"))
+    some = names.join(linked, "key", "left").withColumn("links", F.col("copies") - 1 + F.coalesce("others", F.lit(0))).where("links > 0")
+    some = written(some.join(_classes(members, near), "key", "left").select("key", "least", "links", F.coalesce("root", "key").alias("root")), "ngram-classes")
+    least = some.groupBy("root").agg(F.min("least").alias("class_id"))
+    return members.join(some.join(least, "root").select("key", "class_id", "links"), "key").select("doc_id", "class_id", "links")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root): each vertex of the edges (a, b) with the least vertex of its component, by large-star
     and small-star rounds, each a pair of aggregations over the edges that are left."""
@@ -404,7 +436,7 @@ def components(edges: DataFrame) -> DataFrame:
     e, before = edges.select("a", "b").where("a <> b"), None
     while True:
         new = written(star(star(e, True), False), "components")
-        sign = new.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint"))).first()
+        sign = new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", F.lit(1), "a"))).first()
         if before is not None:
             drop_written(e)
         if sign == before:
@@ -413,29 +445,44 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` without near copies: of each group that pairs connect, the least doc_id stays. Columns as before."""
-    pairs = similar_pairs(docs, n, threshold)
-    gone = components(pairs.select(F.col("doc_id").alias("a"), F.col("match_id").alias("b"))).select(F.col("v").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """`docs` without near copies: of each class that links connect one document stays, the one of the
+    least doc_id; of several n-gram sets that share that id in the class, the one of the least hash.
+    Columns as before.
+
+    A row is judged by its own text, so of rows that share a doc_id only near copies go. Repeated rows
+    stay or go together. Rows with a null doc_id or without words stay. An empty table stays empty."""
+    members, near = _joined(docs, n, threshold)
+    keyed = members.join(_classes(members, near), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    first = keyed.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    gone = keyed.join(first, "root").where("doc_id <> first.doc_id or key <> first.key").select(F.col("doc_id").alias("__gone_id"), F.col("rid").alias("__gone_rid")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(f"__{c}") for c, t in (("doc_id", "bigint"), ("text", "string"))])
+    rows = rows.withColumn("__rid", F.xxhash64("__text")).drop("__text")
+    return rows.join(gone, (F.col("__doc_id") == F.col("__gone_id")) & (F.col("__rid") == F.col("__gone_rid")), "left_anti").select("row.*")
 
 
 def op6_ngram_jaccard_join(spark, sf_dir):
-    return similar_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 SQL = rf"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\f]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 s AS (
   SELECT doc_id, CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
     ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {N} + 2), lambda i: {" || ' ' || ".join(f"w[i + {k}]" for k in range(N))}))) END AS grams
   FROM w WHERE len(w) > 0),
-k AS (SELECT grams, min(doc_id) AS least FROM s GROUP BY grams),
+k AS (SELECT grams, min(doc_id) AS least, count(*) AS copies FROM s GROUP BY grams),
 g AS (SELECT least, len(grams) AS size, unnest(grams) AS g FROM k),
 o AS (
   SELECT a.least AS x, b.least AS y, any_value(a.size) AS sx, any_value(b.size) AS sy, count(*) AS n
-  FROM g a JOIN g b ON a.g = b.g AND a.least < b.least GROUP BY a.least, b.least)
-SELECT x AS doc_id, y AS match_id, n / (sx + sy - n) AS jaccard FROM o WHERE n / (sx + sy - n) >= {THRESHOLD}
-UNION ALL
-SELECT k.least, s.doc_id, 1.0::DOUBLE FROM s JOIN k ON s.grams = k.grams WHERE s.doc_id <> k.least
+  FROM g a JOIN g b ON a.g = b.g AND a.least < b.least GROUP BY a.least, b.least),
+e AS (
+  SELECT x, y FROM o WHERE n / (sx + sy - n) >= {THRESHOLD}
+  UNION ALL SELECT y, x FROM o WHERE n / (sx + sy - n) >= {THRESHOLD}),
+r AS (SELECT least AS v, least AS u FROM k UNION SELECT r.v, e.y FROM r JOIN e ON r.u = e.x),
+c AS (SELECT v, min(u) AS class_id FROM r GROUP BY v),
+l AS (SELECT e.x, sum(k.copies) AS others FROM e JOIN k ON e.y = k.least GROUP BY e.x)
+SELECT s.doc_id, c.class_id, CAST(k.copies - 1 + coalesce(l.others, 0) AS BIGINT) AS links
+FROM s JOIN k ON s.grams = k.grams JOIN c ON c.v = k.least LEFT JOIN l ON l.x = k.least
+WHERE k.copies > 1 OR l.others > 0
 """

@@ -282,6 +282,31 @@ def test_ngram_join(spark, mixed, t):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("t", [0.3, 0.5])
+def test_classes_and_links(spark, mixed, t):
+    sets = [grams(x) for x in mixed]
+    links, root = Counter(), list(range(len(sets)))
+    pairs = [(x, y) for x, y in itertools.combinations(range(len(sets)), 2) if sets[x] and sets[y] and len(sets[x] & sets[y]) >= t * len(sets[x] | sets[y])]
+    for x, y in pairs:
+        links.update((x, y))
+    for _ in sets:
+        for x, y in pairs:
+            root[x] = root[y] = min(root[x], root[y])
+    got = {r.doc_id: (r.class_id, r.links) for r in ngram_join.similar_documents(frame(spark, mixed), threshold=t).collect()}
+    assert got == {x: (root[x], n) for x, n in links.items()}
+    kept = {r.doc_id for r in ngram_join.drop_near_copies(frame(spark, mixed), threshold=t).collect()}
+    assert kept == {x for x in range(len(sets)) if root[x] == x}
+
+
+def test_near_copies_of_a_shared_id(spark):
+    """A unique text stays though its id also has a near copy; of two similar texts of one id one stays."""
+    copy, own, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"u{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, copy), (2, copy), (2, own), (3, other), (3, other + " more")], "doc_id bigint, text string")
+    kept = sorted((r.doc_id, len(r.text.split())) for r in ngram_join.drop_near_copies(docs).collect())
+    assert kept[:2] == [(1, 40), (2, 40)] and len(kept) == 3 and kept[2][0] == 3
+    assert sorted(tuple(r) for r in ngram_join.similar_documents(docs).collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 1), (3, 3, 1)]
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(40)]

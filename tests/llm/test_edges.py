@@ -17,7 +17,7 @@ ROWS = [
 CLASH = ("p", "key", "size", "rid", "gid", "digit", "rest", "shard", "h", "n", "e", "bin", "copies", "least", "n_lines", "n_dropped", "__rid", "__copies", "__copy", "__gone", "x0", "narrow", "wide", "keep", "block", "units", "root", "v", "a", "b", "rate", "w", "tokens")
 
 OPERATORS = {
-    "packing": packing.pack, "language_id": language_id.identify, "pii": pii.find_pii, "exact": exact_dedup.exact_duplicates, "ngram": ngram_join.similar_pairs, "quality": quality.reject_outliers,
+    "packing": packing.pack, "language_id": language_id.identify, "pii": pii.find_pii, "exact": exact_dedup.exact_duplicates, "ngram": ngram_join.similar_documents, "ngram_pairs": ngram_join.similar_pairs, "quality": quality.reject_outliers,
     "scores": quality.score, "mixing": mixing.copies_table, "mix_rows": mixing.mix_sources, "substring": substring_dedup.repeated_passages, "lines": line_dedup.dedup_lines, "keep_known": language_id.keep_known,
     "near": ngram_join.drop_near_copies, "lines_routed": lambda d: line_dedup.dedup_lines(d, resident_bytes=-1), "exact_shuffled": lambda d: exact_dedup.exact_duplicates(d, broadcast_bytes=-1),
 }
