@@ -28,6 +28,7 @@ N, THRESHOLD = 3, 0.5
 BLOCK = 256  # sets of one neighbourhood that are verified against one other such block
 SIGNATURE = 64  # parts of a set whose sizes bound an overlap
 HELD = 2_600_000  # n-grams that a task holds before it sends them
+BROADCAST_BYTES = 32 << 20  # a table of keys that is sent to every task is no larger
 PART_BYTES = 20 << 20  # n-grams that meet in one task: small enough for its memory, large enough that classes have several in it
 
 
@@ -335,8 +336,25 @@ def overlaps(a: np.ndarray, b: np.ndarray, key: np.ndarray, size: np.ndarray, gr
     return live[ok], j[ok]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: float, count: int) -> DataFrame:
-    """(a, b, jaccard) of the pairs of keys that are similar enough.
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n vertices the least vertex that the edges (a, b) connect it with."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, t: float, count: int, copies: DataFrame | None = None) -> DataFrame:
+    """(a, b, jaccard) of the pairs of keys that are similar enough. With `copies` (key, copies; absent keys
+    have one) they are summed up where they are verified, to (key, others, root): how many copies a key's
+    partners there have, and the least key that it is connected with there. That has a row or a few a key,
+    while pairs grow with the square of a class.
 
     Classes that share neighbours are verified together: a class belongs to the cell of its least
     neighbour, cells are cut to blocks, and a pair goes where its two blocks meet, so a set travels
@@ -349,19 +367,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: float, count: int) -> DataFr
     buckets = 4 * count
     placed = placed.select("a", "b", F.expr(f"int(pmod(xxhash64(least(ba, bb), greatest(ba, bb)), {buckets}))").alias("site"))
     placed = written(placed, "ngram-sites")
-    needed = placed.select(F.col("site").alias("at"), F.col("a").alias("key")).unionAll(placed.select("site", "b")).distinct().join(sets, "key")
+    needed = placed.select(F.col("site").alias("at"), F.col("a").alias("key")).unionAll(placed.select("site", "b")).distinct()
+    if copies is None:
+        needed = needed.withColumn("copies", F.lit(1).cast("bigint"))
+    else:
+        needed = needed.join(copies, "key", "left").select("at", "key", F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"))
+    needed = written(needed, "ngram-needed")
+    if needed.count() * 24 <= BROADCAST_BYTES:  # spares the sets an exchange
+        needed = F.broadcast(needed)
+    needed = sets.join(needed, "key")
+
+    as_pairs = copies is None
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = (left.column(c).to_numpy() for c in ("a", "b"))
         grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("grams")]
-        i, j = overlaps(a, b, right.column("key").to_numpy(), right.column("size").to_numpy(), grams, t)
-        return pa.table({"a": a[i], "b": b[i], "jaccard": j})
-
-    return placed.groupBy("site").cogroup(needed.groupBy("at")).applyInArrow(verify, "a bigint, b bigint, jaccard double")
-
-
-def _joined(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, rid, key) of every document with n-grams, (a, b, jaccard) of similar keys), both written."""
+        keys = right.column("key").to_numpy()
+        i, j = overlaps(a, b, keys, right.column("size").to_numpy(), grams, t)
+        if as_pairs:
+            return pa.table({"a": a[i], "b": b[i], "jaccard": j})
+        order = np.argsort(keys)
+        keys, weight = keys[order], right.column("copies").to_numpy()[order]
+        x, y = np.searchsorted(keys, a[i]), np.searchsorted(keys, b[i])
+        others = np.zeros(len(keys), np.int64)
+        np.add.at(others, x, weight[y])
+        np.add.at(others, y, weight[x])
+        on = np.flatnonzero(others)
+        return pa.table({"key": keys[on], "others": others[on], "root": keys[_forest(x, y, len(keys))[on]]})
+
+    schema = "a bigint, b bigint, jaccard double" if as_pairs else "key bigint, others bigint, root bigint"
+    return placed.groupBy("site").cogroup(needed.groupBy("at")).applyInArrow(verify, schema)
+
+
+def _joined(docs: DataFrame, n: int, threshold: float, as_pairs: bool) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, rid, key) of every document with n-grams, what _verified() gives), both written."""
     spark = docs.sparkSession
     docs = ensure_columns(docs, doc_id="bigint", text="string").where("doc_id is not null and text is not null")
 
@@ -376,7 +415,8 @@ def _joined(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataF
     count = max(partitions(spark), parts)
     sets = _candidates_of(_shared_grams(docs, n, threshold, min(60_000, parts)), threshold)  # a partition's number takes 16 bits
     pairs = _candidate_pairs(sets, threshold, count)
-    near = written(_verified(pairs, sets, threshold, count), "ngram-near")
+    copies = None if as_pairs else members.select("doc_id", "key").distinct().groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
+    near = written(_verified(pairs, sets, threshold, count, copies), "ngram-near")
     drop_written(pairs)
     drop_written(sets)
     return members.drop("size"), near
@@ -386,7 +426,7 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     """(doc_id, match_id, jaccard), doc_id < match_id, between representatives: equal n-gram sets are named
     by their least doc_id, with a row (that, member, 1.0) for each other member and one for each pair of
     similar sets. See similar_documents() for what is compared; rows that share a doc_id don't match."""
-    members, near = _joined(docs, n, threshold)
+    members, near = _joined(docs, n, threshold, True)
     names = members.groupBy("key").agg(F.min("doc_id").alias("least"))
     equal = members.join(names, "key").where("doc_id > least").select(F.col("least").alias("doc_id"), F.col("doc_id").alias("match_id"), F.lit(1.0).alias("jaccard"))
     near = near.join(names.select(F.col("key").alias("a"), F.col("least").alias("x")), "a").join(names.select(F.col("key").alias("b"), F.col("least").alias("y")), "b")
@@ -396,7 +436,7 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
 
 def _classes(members: DataFrame, near: DataFrame) -> DataFrame:
     """(key, root): each key that is similar to another with the key that names all connected ones."""
-    return components(near.select("a", "b")).select(F.col("v").alias("key"), "root")
+    return components(near.select(F.col("key").alias("a"), F.col("root").alias("b"))).select(F.col("v").alias("key"), "root")
 
 
 def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -410,11 +450,10 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD)
     taken whole. Rows with a null doc_id are left out; rows that share a doc_id and an n-gram set count
     once, with different sets they are documents of their own. An empty table gives no rows. Other
     columns are ignored."""
-    members, near = _joined(docs, n, threshold)
+    members, near = _joined(docs, n, threshold, False)
     members = members.select("doc_id", "key").distinct()
     names = members.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    ends = near.select(F.col("a").alias("key"), F.col("b").alias("other")).unionAll(near.select("b", "a"))
-    linked = ends.join(names.select(F.col("key").alias("other"), "copies"), "other").groupBy("key").agg(F.sum("copies").alias("others"))
+    linked = near.groupBy("key").agg(F.sum("others").alias("others"))
     some = names.join(linked, "key", "left").withColumn("links", F.col("copies") - 1 + F.coalesce("others", F.lit(0))).where("links > 0")
     some = written(some.join(_classes(members, near), "key", "left").select("key", "least", "links", F.coalesce("root", "key").alias("root")), "ngram-classes")
     least = some.groupBy("root").agg(F.min("least").alias("class_id"))
@@ -451,7 +490,7 @@ def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD)
 
     A row is judged by its own text, so of rows that share a doc_id only near copies go. Repeated rows
     stay or go together. Rows with a null doc_id or without words stay. An empty table stays empty."""
-    members, near = _joined(docs, n, threshold)
+    members, near = _joined(docs, n, threshold, False)
     keyed = members.join(_classes(members, near), "key", "left").withColumn("root", F.coalesce("root", "key"))
     first = keyed.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
     gone = keyed.join(first, "root").where("doc_id <> first.doc_id or key <> first.key").select(F.col("doc_id").alias("__gone_id"), F.col("rid").alias("__gone_rid")).distinct()
