@@ -3,7 +3,9 @@
 nodes(tree_id, node_id, parent_id, last, depth, sib_pos, n_sib, field, node_type, text, subtree_text,
 start_line, end_line, source_file): node_id counts from 0 in pre-order and last is the greatest of a
 node's subtree, so a descendant has the tree's id and a node_id in (node_id, last]. Children are an
-equality on (tree_id, parent_id), and every join carries tree_id.
+equality on (tree_id, parent_id). Descendants and ancestors are an equality on (tree_id, block): node
+ids are cut to blocks of BLOCK, an interval is sent to the blocks it touches, and a large tree is as
+many keys as it has blocks.
 
 A query that walks axes, selects by conditions on nodes and projects is compiled to one plan. Any
 other is evaluated tree by tree in Arrow batches with the same parser; results are equal.
@@ -22,11 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.plans import tree_query as tq
+from tessella.session import materialised
 
 NODES = (
     "tree_id string, node_id bigint, parent_id bigint, last bigint, depth int, sib_pos int, n_sib int, field string, node_type string, "
     "text string, subtree_text string, start_line int, end_line int, source_file string"
 )
+DEEP = 8  # levels of a tree that one plan holds
+BLOCK = 4096  # node ids that share a key where intervals are joined
 NAMES = [x.split()[0] for x in NODES.split(", ")]
 
 
@@ -236,29 +241,56 @@ def parse_metrics(nodes: DataFrame) -> DataFrame:
 def number_nodes(links: DataFrame, roots: str = "parent is null") -> DataFrame:
     """The node table of (tree_id, id, parent, field, node_type, text, sort): relations as trees.
 
-    Depth by depth from the roots, each node gets its path of positions, whose order is pre-order;
-    sizes come back up by one aggregation over the paths' prefixes. Depth is the number of rounds."""
+    Level by level from the roots; subtree sizes come back up, a sum a level; then a child's number is its
+    parent's, plus one, plus the sizes of the siblings before it. Every step is a join on (tree_id, parent),
+    so a large tree is spread over all tasks. There are as many rounds as the deepest tree has levels,
+    without a bound; each is written, so plans stay small. A cycle that hangs on a root is an error; nodes that no root
+    reaches are left out."""
     w = Window.partitionBy("tree_id", "parent").orderBy("sort")
     placed = links.withColumn("sib_pos", (F.row_number().over(w) - 1).cast("int")).withColumn("n_sib", F.count("*").over(Window.partitionBy("tree_id", "parent")).cast("int"))
-    level = placed.where(roots).withColumn("at", F.array(F.col("sib_pos"))).withColumn("above", F.array("id").cast("array<string>"))
-    out, depth = level, 0
-    while True:
-        up = level.select(F.col("tree_id"), F.col("id").alias("parent"), F.col("at").alias("__at"), F.col("above").alias("__above"))
-        level = placed.join(up, ["tree_id", "parent"]).select(placed.columns + [F.concat("__at", F.array("sib_pos")).alias("at"), F.concat("__above", F.array("id")).alias("above")])
-        depth += 1
-        if depth > 64 or level.isEmpty():
-            break
-        out = out.unionByName(level)
-    pre = (F.row_number().over(Window.partitionBy("tree_id").orderBy("at")) - 1).cast("bigint")
-    out = out.withColumn("node_id", pre).withColumn("depth", F.size("at") - 1)
-    sizes = out.select("tree_id", F.explode("above").alias("id")).groupBy("tree_id", "id").agg(F.count("*").alias("size"))
-    ids = out.select("tree_id", F.col("id").alias("parent"), F.col("node_id").alias("parent_id"))
-    out = out.join(sizes, ["tree_id", "id"]).join(ids, ["tree_id", "parent"], "left")
+    placed = materialised(placed, "tree-links")
+    levels, most = [placed.where(roots)], None
+    while not levels[-1].isEmpty():
+        if len(levels) == 64:
+            most = placed.count()
+        if most is not None and len(levels) > most:
+            raise ValueError("a node is its own ancestor")
+        up = levels[-1].select("tree_id", F.col("id").alias("parent"))
+        level = placed.join(up, ["tree_id", "parent"]).select(placed.columns)
+        levels.append(materialised(level, "tree-level"))
+    levels.pop()
+    sized, below = [], None
+    for level in reversed(levels):
+        if below is None:
+            level = level.withColumn("size", F.lit(1).cast("bigint"))
+        else:
+            sums = below.groupBy("tree_id", F.col("parent").alias("id")).agg(F.sum("size").alias("__below"))
+            level = level.join(sums, ["tree_id", "id"], "left").withColumn("size", F.coalesce("__below", F.lit(0)) + 1).drop("__below")
+        below = materialised(level, "tree-sizes") if len(levels) > DEEP else level
+        sized.insert(0, below)
+    if 1 < len(sized) <= DEEP:  # few levels are written together
+        together = sized[0].withColumn("__depth", F.lit(0))
+        for depth, level in enumerate(sized[1:], 1):
+            together = together.unionByName(level.withColumn("__depth", F.lit(depth)))
+        together = materialised(together, "tree-sizes")
+        sized = [together.where(F.col("__depth") == depth).drop("__depth") for depth in range(len(sized))]
+    earlier = Window.partitionBy("tree_id", "parent").orderBy("sib_pos").rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(None).cast("string")
-    return out.select(
-        "tree_id", "node_id", "parent_id", (F.col("node_id") + F.col("size") - 1).alias("last"), "depth", "sib_pos", "n_sib", "field", "node_type", "text", none.alias("subtree_text"),
-        (F.col("node_id") + 1).cast("int").alias("start_line"), (F.col("node_id") + F.col("size")).cast("int").alias("end_line"), none.alias("source_file"),
-    )
+    out, above = None, None
+    for depth, level in enumerate(sized):
+        if above is None:
+            level = level.withColumn("parent_id", F.lit(None).cast("bigint")).withColumn("node_id", F.lit(0).cast("bigint"))
+        else:
+            ids = above.select("tree_id", F.col("id").alias("parent"), F.col("node_id").alias("parent_id"))
+            level = level.withColumn("__before", F.coalesce(F.sum("size").over(earlier), F.lit(0))).join(ids, ["tree_id", "parent"])
+            level = level.withColumn("node_id", F.col("parent_id") + 1 + F.col("__before"))
+        above = materialised(level.drop("__before"), "tree-numbers") if len(levels) > DEEP else level.drop("__before")
+        rows = above.select(
+            "tree_id", "node_id", "parent_id", (F.col("node_id") + F.col("size") - 1).alias("last"), F.lit(depth).alias("depth"), "sib_pos", "n_sib", "field", "node_type", "text", none.alias("subtree_text"),
+            (F.col("node_id") + 1).cast("int").alias("start_line"), (F.col("node_id") + F.col("size")).cast("int").alias("end_line"), none.alias("source_file"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else links.sparkSession.createDataFrame([], NODES)
 
 
 # Axes: from a set of nodes (with any extra columns in front, prefixed __) to another
@@ -274,6 +306,20 @@ def _step(start: DataFrame, nodes: DataFrame, on: Callable[[Column, Column], Col
     return a.join(b, (F.col("a.tree_id") == F.col("b.tree_id")) & on(c("a"), c("b"))).select(*[F.col(f"a.{x}") for x in extra], *[F.col(f"b.{x}") for x in nodes.columns])
 
 
+def _interval(low: Column, high: Column) -> Column:
+    """The blocks that an interval of node ids touches; none if it is empty."""
+    return F.when(low <= high, F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _inside(start: DataFrame, nodes: DataFrame, types=None, own: bool = False, near: Callable | None = None) -> DataFrame:
+    """Nodes in the subtrees of `start`, joined block by block."""
+    low = F.col("node_id") if own else F.col("node_id") + 1
+    a = start.withColumn("block", F.explode(_interval(low, F.col("last"))))
+    b = nodes.withColumn("block", F.floor(F.col("node_id") / BLOCK))
+    on = lambda a, b: (a("block") == b("block")) & ((b("node_id") >= a("node_id")) if own else (b("node_id") > a("node_id"))) & (b("node_id") <= a("last")) & (near(a, b) if near else F.lit(True))
+    return _step(a, b, on, types).drop("block")
+
+
 def children(start: DataFrame, nodes: DataFrame, types=None, n: int | None = None) -> DataFrame:
     nth = lambda b: F.lit(True) if n is None else b("sib_pos") == n if n >= 0 else b("sib_pos") == b("n_sib") + n
     return _step(start, nodes, lambda a, b: (b("parent_id") == a("node_id")) & nth(b), types)
@@ -281,8 +327,9 @@ def children(start: DataFrame, nodes: DataFrame, types=None, n: int | None = Non
 
 def descendants(start: DataFrame, nodes: DataFrame, types=None, depth: int | None = None) -> DataFrame:
     """A depth below 1 reads as 1."""
-    near = lambda a, b: F.lit(True) if depth is None else b("depth") <= a("depth") + max(1, depth)
-    return _step(start, nodes, lambda a, b: (b("node_id") > a("node_id")) & (b("node_id") <= a("last")) & near(a, b), types)
+    if depth is not None and depth <= 1:
+        return children(start, nodes, types)
+    return _inside(start, nodes, types, near=None if depth is None else lambda a, b: b("depth") <= a("depth") + depth)
 
 
 def parent(start: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -290,7 +337,9 @@ def parent(start: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def ancestors(start: DataFrame, nodes: DataFrame) -> DataFrame:
-    return _step(start, nodes, lambda a, b: (b("node_id") < a("node_id")) & (b("last") >= a("node_id")))
+    above = nodes.where(F.col("last") > F.col("node_id")).withColumn("block", F.explode(_interval(F.col("node_id") + 1, F.col("last"))))
+    at = start.withColumn("block", F.floor(F.col("node_id") / BLOCK))
+    return _step(at, above, lambda a, b: (a("block") == b("block")) & (b("node_id") < a("node_id")) & (b("last") >= a("node_id"))).drop("block")
 
 
 def siblings(start: DataFrame, nodes: DataFrame, by: int | None = None) -> DataFrame:
@@ -421,11 +470,10 @@ def _matching(step: tuple, nodes: DataFrame) -> DataFrame:
 
 
 def _match(steps: tuple, at: DataFrame, nodes: DataFrame) -> DataFrame:
-    within = lambda a, b: (b("node_id") >= a("node_id")) & (b("node_id") <= a("last"))
-    out = _step(at, _matching(steps[0], nodes), within)
+    out = _inside(at, _matching(steps[0], nodes), own=True)
     for s in steps[1:]:
-        on = (lambda a, b: b("parent_id") == a("node_id")) if s[0] == "child" else (lambda a, b: (b("node_id") > a("node_id")) & (b("node_id") <= a("last")))
-        out = _step(out, _matching(s, nodes), on)
+        found = _matching(s, nodes)
+        out = _step(out, found, lambda a, b: b("parent_id") == a("node_id")) if s[0] == "child" else _inside(out, found)
     return out
 
 

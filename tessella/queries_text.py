@@ -193,11 +193,20 @@ def src_logfmt_lines(spark, d):
     return _back(logs.parse_lines(_lines(spark, d, line)))
 
 
-@query(_BACK)
+@query("""SELECT event_id AS line_no, CASE WHEN event_id % 4 < 3 THEN epoch_us(ts) END AS us, CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 ELSE 2 END AS level_rank,
+CASE WHEN event_id % 4 <> 2 THEN 'user' || user_id END AS source, event_type AS message FROM events""")
 def src_bracket_lines(spark, d):
+    """The four patterns in turn: stamp, level, source; stamp, source, level; level, stamp; level, source."""
     _utc(spark)
-    line = F.concat(F.lit("["), _stamp(), F.lit("] "), _level(), F.lit(" user"), "user_id", F.lit(": "), "event_type")
-    return _back(logs.parse_lines(_lines(spark, d, line)))
+    user = F.concat(F.lit("user"), "user_id")
+    forms = [
+        F.concat(F.lit("["), _stamp(), F.lit("] "), _level(), F.lit(" "), user, F.lit(": "), "event_type"),
+        F.concat(_stamp(), F.lit(" ["), user, F.lit("] ["), F.lower(_level()), F.lit("] "), "event_type"),
+        F.concat(F.lit("["), _level(), F.lit("] "), _stamp(), F.lit(" "), "event_type"),
+        F.concat(_level(), F.lit(" "), user, F.lit(": "), "event_type"),
+    ]
+    k = F.col("event_id") % 4
+    return _back(logs.parse_lines(_lines(spark, d, F.coalesce(*[F.when(k == i, f) for i, f in enumerate(forms)]))))
 
 
 @query("SELECT event_id AS line_no, epoch_us(ts) AS us, CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 ELSE 2 END AS level_rank, 'user' || user_id AS source, event_type AS message FROM events")
@@ -223,6 +232,49 @@ def src_cri_lines(spark, d):
     return _back(logs.parse_lines(_lines(spark, d, line)))
 
 
+@query("SELECT event_id AS line_no, CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 ELSE 2 END AS level_rank, 'app' || user_id AS source, event_type || ' [x]' AS message, '\"' || 'h' || (user_id % 3) || '\"' AS host, '\"' || user_id || '\"' AS pid FROM events")
+def src_syslog_old_lines(spark, d):
+    severity = F.when(_level() == "ERROR", 11).when(_level() == "WARN", 12).otherwise(14)
+    line = F.concat(F.lit("<"), severity, F.lit(">Oct  1 12:00:00 h"), F.col("user_id") % 3, F.lit(" app"), "user_id", F.lit("["), "user_id", F.lit("]: "), "event_type", F.lit(" [x]"))
+    return logs.parse_lines(_lines(spark, d, line)).select("line_no", F.col("level_rank").cast("int").alias("level_rank"), "source", "message", F.col("fields")["hostname"].alias("host"), F.col("fields")["pid"].alias("pid"))
+
+
+@query("""SELECT event_id AS line_no, CASE WHEN k = 1 THEN NULL WHEN event_type = 'error' THEN 4 WHEN event_type = 'purchase' AND k <> 3 THEN 3 ELSE 2 END AS level_rank, ['cargo', 'cargo', 'xcodebuild', 'gradle'][k + 1] AS source,
+CASE k WHEN 0 THEN 'bad ' || user_id WHEN 1 THEN '--> src/m' || user_id || '.rs:3:7' WHEN 2 THEN 'cannot: ' || user_id ELSE '> Task :t' || user_id || CASE event_type WHEN 'error' THEN ' FAILED' ELSE ' UP-TO-DATE' END END AS message,
+CASE k WHEN 1 THEN '"src/m' || user_id || '.rs:3:7"' WHEN 2 THEN '"App/V' || user_id || '.swift:1:2"' END AS location FROM (SELECT *, event_id % 4 AS k FROM events) t""")
+def src_build_lines(spark, d):
+    word = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "warning").otherwise("note")
+    forms = [
+        F.concat(word, F.lit("[E0308]: bad "), "user_id"), F.concat(F.lit("  --> src/m"), "user_id", F.lit(".rs:3:7")), F.concat(F.lit("App/V"), "user_id", F.lit(".swift:1:2: "), word, F.lit(": cannot: "), "user_id"),
+        F.concat(F.lit("> Task :t"), "user_id", F.when(F.col("event_type") == "error", " FAILED").otherwise(" UP-TO-DATE")),
+    ]
+    k = F.col("event_id") % 4
+    out = logs.parse_lines(_lines(spark, d, F.coalesce(*[F.when(k == i, f) for i, f in enumerate(forms)])), "cargo")
+    return out.select("line_no", F.col("level_rank").cast("int").alias("level_rank"), "source", "message", F.col("fields")["location"].alias("location"))
+
+
+@query("SELECT event_id AS line_no, CAST(NULL AS INTEGER) AS level_rank, event_type || ' ' || user_id AS message FROM events")
+def src_unknown_ansi_lines(spark, d):
+    """No format fits; colour codes go from the message and stay in the raw line."""
+    line = F.concat(F.lit("\x1b[31m"), "event_type", F.lit("\x1b[0m "), "user_id")
+    out = logs.parse_lines(_lines(spark, d, line))
+    return out.where(F.col("raw").contains("\x1b[31m")).select("line_no", F.col("level_rank").cast("int").alias("level_rank"), "message")
+
+
+@query("SELECT event_id AS line_no, 'f' || (event_id % 2) AS file, epoch_us(ts) AS us, event_type AS message, coalesce(CASE WHEN event_id % 2 = 0 THEN 'user' || user_id END, 'f' || (event_id % 2)) AS source, row_number() OVER (ORDER BY ts, event_id % 2, event_id) AS place FROM events")
+def src_merged_timeline(spark, d):
+    """Two files of different formats, detected one by one and merged by time."""
+    _utc(spark)
+    as_json = F.to_json(F.struct(_stamp().alias("time"), F.concat(F.lit("user"), "user_id").alias("logger"), F.col("event_type").alias("message")))
+    as_bracket = F.concat(F.lit("["), _level(), F.lit("] "), _stamp(), F.lit(" "), "event_type")
+    even = F.col("event_id") % 2 == 0
+    e = table(spark, d, "events").select(F.concat(F.lit("f"), F.col("event_id") % 2).alias("file"), F.col("event_id").alias("line_no"), F.when(even, as_json).otherwise(as_bracket).alias("raw"))
+    from pyspark.sql.window import Window
+
+    merged = logs.merged_timeline(logs.parse_lines(e)).withColumn("__at", F.monotonically_increasing_id())  # in the order that the operator gives
+    return merged.select("line_no", "file", F.unix_micros("timestamp").alias("us"), "message", "source", F.row_number().over(Window.orderBy("__at")).cast("bigint").alias("place"))
+
+
 @query("SELECT 'bracket' AS format, 1 AS files UNION ALL SELECT 'json', 1 UNION ALL SELECT 'unknown', 1")
 def src_detect(spark, d):
     e = table(spark, d, "events")

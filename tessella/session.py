@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -27,3 +29,22 @@ def session(app: str = "tessella", master: str | None = None, **conf: str) -> Sp
 def table(spark: SparkSession, folder: str, name: str):
     """One parquet table of a folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it; in local mode a temporary
+    one is made where it is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
+def materialised(df: DataFrame, what: str) -> DataFrame:
+    """A table written to the shared folder and read again: cuts the lineage, outlives executors."""
+    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -28,7 +28,8 @@ def read_stream(spark: SparkSession, folder: str, format: str, **options: str) -
 def entries(lines: DataFrame, format: str) -> DataFrame:
     """Entries of a stream (or table) of lines in column value."""
     chosen = logs.FORMAT_ALIASES.get(format, format)
-    parsed = lines.where(F.col("value").rlike(r"\S")).withColumn("__e", logs.PARSERS[chosen](logs.strip_ansi(F.col("value"))))
+    clean = logs.strip_ansi(F.col("value"))
+    parsed = logs.with_prepared(lines.where(F.col("value").rlike(r"\S")), chosen, clean).withColumn("__e", logs.PARSERS[chosen](clean))
     return parsed.select("__e.timestamp", log_pipeline.level_name(F.col("__e.level_rank")).alias("level"), "__e.level_rank", "__e.source", "__e.message", "__e.fields", F.col("value").alias("raw"))
 
 
