@@ -84,3 +84,27 @@ def estimate_seconds(sources: DataFrame, words_per_second: int = 10_000, workers
     """One row: files, words, seconds that indexing would take."""
     words = F.size(F.filter(F.split("content", r"\s+"), lambda w: w != ""))
     return sources.agg(F.count("*").alias("files"), F.coalesce(F.sum(words), F.lit(0)).alias("words")).withColumn("seconds", F.col("words") / F.lit(words_per_second * workers))
+
+
+# What computes each mode: a tool's name and its arguments, the source's path last
+MODES = {
+    "skeleton": ("tree", "skeleton"), "signatures": ("tree", "signatures"), "metrics": ("tree", "parse_metrics"), "build": ("tree", "build"), "sentences": ("prose", "plain_sentences"), "statistics": ("prose", "statistics"),
+    "requirements": ("prose", "requirements"), "questions": ("prose", "questions"), "discourse": ("prose", "discourse"),
+}
+
+
+def mode_function(mode: str) -> Callable[[DataFrame], DataFrame]:
+    """The operator that a mode names; an unknown mode is an error."""
+    from importlib import import_module
+
+    if mode not in MODES:
+        raise ValueError(f"no such mode: {mode}; one of {', '.join(MODES)}")
+    module, name = MODES[mode]
+    return getattr(import_module(f"tessella.operators.{module}"), name)
+
+
+def invalidated(cache: DataFrame, changed: DataFrame) -> DataFrame:
+    """(path, entries): files of `changed` (path) that the cache holds something of. Nothing is deleted:
+    contents are the keys, so what is out of date is never found again."""
+    held = cache.groupBy(F.col("source_path").alias("path")).agg(F.count("*").alias("entries"))
+    return changed.select("path").distinct().join(held, "path")

@@ -54,11 +54,14 @@ def get_node(nodes: DataFrame, node_id: str):
     return row
 
 
-def update_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
-    """Nodes with the fields of `changes` (by id); an absent or null field keeps what was there. Ids
-    that no node has are ignored; vectors are not made anew."""
+def update_nodes(nodes: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """Nodes with the fields of `changes` (by id); an absent or null field keeps what was there. Of several
+    changes to one field of a node the last by `order` counts, and without an order the greatest value.
+    Ids that no node has are ignored; vectors are not made anew."""
     fields = [c for c in changes.columns if c != "id" and c in nodes.columns]
-    latest = changes.groupBy("id").agg(*[F.last(c, ignorenulls=True).alias(f"__{c}") for c in fields], F.lit(True).alias("__hit"))
+    fields = [c for c in fields if c != order]
+    last = lambda c: F.max(c) if order is None else F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
+    latest = changes.groupBy("id").agg(*[last(c).alias(f"__{c}") for c in fields], F.lit(True).alias("__hit"))
     out = nodes.join(latest, "id", "left")
     cols = [F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in fields else F.when(F.col("__hit"), _now()).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c) for c in nodes.columns]
     return out.select(*cols)
@@ -206,3 +209,49 @@ def query_json(spark: SparkSession, sql: str) -> DataFrame:
 
 def new_id() -> str:
     return str(uuid.uuid4())
+
+
+# The store: a folder with a table of nodes, edges, vectors and children
+
+STORE = {
+    "nodes": "id string, type string, title string, body string, status string, metadata_json string, created_at string, updated_at string",
+    "edges": "from_id string, to_id string, kind string, weight double, created_at string",
+    "node_embeddings": "node_id string, embedding array<float>",
+    "registry": "project_name string, db_path string, parent_registry_id string, last_seen string",
+}
+STORE_VARIABLE, STORE_NAME = "TESSELLA_STORE", ".tessella/graph"
+
+
+def open_store(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a store; those that aren't there yet are made, empty."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = {}
+    for name, schema in STORE.items():
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if not path.getFileSystem(conf).exists(path):
+            spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}")
+        out[name] = spark.read.schema(schema).parquet(f"{folder}/{name}")
+    return out
+
+
+def broken_references(nodes: DataFrame, edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(kind, id): ends of edges, and vectors, that no node has: what a foreign key would refuse."""
+    ends = edges.select(F.lit("edge").alias("kind"), F.explode(F.array("from_id", "to_id")).alias("id")).unionAll(vectors.select(F.lit("vector"), "node_id"))
+    return ends.distinct().join(nodes.select("id"), "id", "left_anti").select("kind", "id")
+
+
+def store_path(start: str, environment: dict[str, str] | None = None) -> str | None:
+    """The store of a folder: what the environment names, else the nearest STORE_NAME in the folder or above
+    it; null if there is none."""
+    import os
+
+    named = (os.environ if environment is None else environment).get(STORE_VARIABLE)
+    if named:
+        return named
+    at = os.path.abspath(start)
+    while True:
+        if os.path.isdir(os.path.join(at, STORE_NAME)):
+            return os.path.join(at, STORE_NAME)
+        if at == os.path.dirname(at):
+            return None
+        at = os.path.dirname(at)

@@ -67,16 +67,16 @@ def group(rows: DataFrame, key, order: list[str], value: Column | None = None) -
 
 
 def diff(left: DataFrame, right: DataFrame, left_key, right_key, order: list[str]) -> DataFrame:
-    """(side, row_left, row_right), side being only_left, only_right or both. One full outer join of
-    keyed rows: left rows keep their repeats, right rows appear in `both` by the last of a key."""
-    a = left.select(_key(left, left_key).alias("__key"), _row(left).alias("row_left"), F.lit(1).alias("__a"))
+    """(side, row_left, row_right), side being only_left, only_right or both: left rows keep
+    their repeats, right rows appear in `both` by the last of a key, and all rows of a key that the left side
+    lacks are there. Only the last row of a key is gathered, so a hot key is no group."""
+    a = left.select(_key(left, left_key).alias("__key"), _row(left).alias("row_left"))
     place = F.struct(*[F.col(c) for c in order])
-    b = right.select(_key(right, right_key).alias("__key"), place.alias("__at"), _row(right).alias("__row")).groupBy("__key")
-    b = b.agg(F.max_by("__row", "__at").alias("last"), F.collect_list("__row").alias("each"), F.lit(1).alias("__b"))
-    out = a.join(b, "__key", "full_outer")
-    side = F.when(F.col("__b").isNull(), "only_left").when(F.col("__a").isNull(), "only_right").otherwise("both")
-    rows = F.when(F.col("__a").isNull(), F.col("each")).otherwise(F.array("last"))
-    return out.select(side.alias("side"), "row_left", F.explode(rows).alias("row_right"))
+    b = right.select(_key(right, right_key).alias("__key"), place.alias("__at"), _row(right).alias("row_right"))
+    last = b.groupBy("__key").agg(F.max_by("row_right", "__at").alias("last"), F.lit(1).alias("__b"))
+    joined = a.join(last, "__key", "left").select(F.when(F.col("__b").isNull(), "only_left").otherwise("both").alias("side"), "row_left", F.col("last").alias("row_right"))
+    alone = b.join(a.select("__key").distinct(), "__key", "left_anti").select(F.lit("only_right").alias("side"), F.lit(None).cast(a.schema["row_left"].dataType).alias("row_left"), "row_right")
+    return joined.unionAll(alone)
 
 
 def budget_rows(rows: DataFrame, tokens: int, order: list[str], mode: str = "stop") -> DataFrame:

@@ -19,6 +19,7 @@ from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -525,16 +526,11 @@ def evaluate(query: str | tuple, nodes: DataFrame) -> DataFrame:
     """(tree_id, ord, value): the results of any query as JSON, tree by tree."""
     e = tq.parse(query) if isinstance(query, str) else query
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.astype(object).where(group.notna(), None).to_dict("records")
-        for r in rows:
-            for k in ("node_id", "start_line", "end_line"):
-                r[k] = int(r[k])
-            r["parent_id"] = None if r["parent_id"] is None else int(r["parent_id"])
-        out = tq.run(e, rebuild(rows))
-        return pd.DataFrame({"tree_id": [group["tree_id"].iloc[0]] * len(out), "ord": range(len(out)), "value": [tq.dumps(v) for v in out]})
+    def run(group: pa.Table) -> pa.Table:
+        out = tq.run(e, rebuild(group.to_pylist()))
+        return pa.table({"tree_id": pa.array([group.column("tree_id")[0].as_py()] * len(out), pa.string()), "ord": pa.array(range(len(out)), pa.int64()), "value": pa.array([tq.dumps(v) for v in out], pa.string())})
 
-    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id string, ord bigint, value string")
+    return nodes.groupBy("tree_id").applyInArrow(run, "tree_id string, ord bigint, value string")
 
 
 def query(text: str, nodes: DataFrame) -> DataFrame:

@@ -31,9 +31,12 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors as rows of length 1; a null one is zeros. Vectors of different widths are an error."""
     rows = column.to_pylist()
-    width = max((len(r) for r in rows if r is not None), default=0)
-    m = np.zeros((len(rows), width))
+    widths = {len(r) for r in rows if r is not None}
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different widths: {sorted(widths)}")
+    m = np.zeros((len(rows), widths.pop() if widths else 0))
     for i, r in enumerate(rows):
         if r is not None:
             m[i, : len(r)] = r
@@ -58,8 +61,10 @@ def scored_pairs(left: DataFrame, right: DataFrame, threshold: float, k: int | N
 
     def pairs(lk, lm, rk, rm) -> Iterator[pa.RecordBatch]:
         lt, rt = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (lk, rk))
+        if not lm.shape[1] or not rm.shape[1]:  # nulls only: a cosine of 0
+            lm, rm = (np.zeros((len(x), 1)) for x in (lm, rm))
         if lm.shape[1] != rm.shape[1]:
-            return
+            raise ValueError(f"vectors of different widths: {lm.shape[1]} and {rm.shape[1]}")
         for i in range(0, len(lm), 1024):
             s = lm[i : i + 1024] @ rm.T
             if k is not None and s.shape[1] > k:

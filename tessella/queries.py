@@ -253,12 +253,12 @@ def mq_match(spark, d):
     return vectors.fuzzy_join(items, items, 0.3)
 
 
-@query(f"""WITH s AS (SELECT a.vec_id AS k, b.vec_id AS m, {_RAW} AS s FROM embeddings a, embeddings b WHERE b.label < 3 AND {_RAW} >= 0.1),
+@query(f"""WITH s AS (SELECT a.vec_id AS k, b.vec_id AS m, {_RAW} AS s FROM embeddings a, embeddings b WHERE {_RAW} >= 0.1),
 t AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, m) AS place FROM s)
 SELECT k AS left_key, string_agg(CAST(m AS VARCHAR), ',' ORDER BY place) AS matches FROM t WHERE place <= 3 GROUP BY k""")
 def mq_relate(spark, d):
     items = _items(spark, d)
-    out = vectors.relate(items, items.where("label < 3"), 3, 0.1)
+    out = vectors.relate(items, items, 3, 0.1)
     return out.select("left_key", F.array_join(F.transform("matches", lambda x: x["key"].cast("string")), ",").alias("matches"))
 
 
@@ -455,9 +455,11 @@ def oq_keys(spark, d):
     return cache.keyed(docs, "skeleton").select("doc_id", "blob_hash", "key")
 
 
-@query("SELECT CASE WHEN doc_id < 100 THEN 'cached' WHEN n_chars > 20000 THEN 'error' ELSE 'computed' END AS status, count(*) AS count FROM documents GROUP BY ALL")
+@query("SELECT CASE source WHEN (SELECT min(source) FROM documents) THEN 'cached' ELSE 'computed' END AS status, count(*) AS count FROM documents GROUP BY ALL")
 def oq_warm(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"), "n_chars")
-    size = lambda s: s.select("key", F.when(F.col("n_chars") <= 20000, F.col("n_chars").cast("string")).alias("data"))
-    held = cache.keyed(docs.where("doc_id < 100"), "size").select("key", F.col("path").alias("source_path"), "blob_hash", F.lit("size").alias("mode"), F.lit("").alias("data"))
+    """The cache holds what it has of one source; the rest is computed, whatever its length."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"), "source")
+    size = lambda s: s.select("key", F.length("content").cast("string").alias("data"))
+    held = docs.join(F.broadcast(docs.agg(F.min("source").alias("source"))), "source").select(docs.columns)
+    held = cache.keyed(held, "size").select("key", F.col("path").alias("source_path"), "blob_hash", F.lit("size").alias("mode"), F.lit("").alias("data"))
     return cache.warm(cache.get_or_compute(held, docs, "size", size)[0])

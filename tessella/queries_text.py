@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import jsonval
 from tessella.operators import prose, tree
 from tessella.plans import log_pipeline
 from tessella.queries import query
@@ -139,19 +138,6 @@ def aq_signatures(spark, d):
     return tree.signatures(_page_nodes(spark, d))
 
 
-@query("SELECT event_id, octet_length(CAST(event_type AS BLOB)) AS length, upper(event_type) AS up, reverse(event_type) AS back, contains(event_type, 'ick') AS has_ick FROM events")
-def aq_strings(spark, d):
-    e = table(spark, d, "events")
-    return e.select("event_id", F.octet_length("event_type").cast("bigint").alias("length"), F.upper("event_type").alias("up"), F.reverse("event_type").alias("back"), F.contains("event_type", F.lit("ick")).alias("has_ick"))
-
-
-@query("SELECT conv_id, string_agg(CASE WHEN regexp_matches(role, '[, \"\n]') THEN '\"' || role || '\"' ELSE role END, ',' ORDER BY turn) AS csv, string_agg(role, chr(9) ORDER BY turn) AS tsv FROM conversations GROUP BY conv_id")
-def aq_csv_tsv(spark, d):
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
-    roles = F.transform("r", lambda x: x["role"])
-    return rows.select("conv_id", jsonval.csv_line(roles).alias("csv"), jsonval.tsv_line(roles).alias("tsv"))
-
-
 # Formats: events written as lines of each format and read back
 
 
@@ -294,6 +280,11 @@ def _runs(spark: SparkSession, d: str, line) -> DataFrame:
     return o.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "\n").alias("content"))
 
 
+def _framed(runs: DataFrame, head: str, tail: str) -> DataFrame:
+    """Runs between the lines that a runner prints first and last; so their format is detected."""
+    return runs.withColumn("content", F.concat(F.lit(head + "\n"), "content", F.lit("\n" + tail)))
+
+
 def _status(ok, bad, skip):
     return F.when(F.col("o_orderstatus") == "F", bad).when(F.col("o_orderstatus") == "P", skip).otherwise(ok)
 
@@ -304,7 +295,7 @@ def _case():
 
 @query(_TEST_LINES)
 def src_libtest(spark, d):
-    return test_output.parse(_runs(spark, d, F.concat(F.lit("test "), _case(), F.lit(" ... "), _status("ok", "FAILED", "ignored"))), "libtest").select("run_id", "name", "status")
+    return test_output.parse(_framed(_runs(spark, d, F.concat(F.lit("test "), _case(), F.lit(" ... "), _status("ok", "FAILED", "ignored"))), "running 2 tests", "test result: ok. 1 passed; 0 failed; 0 ignored")).select("run_id", "name", "status")
 
 
 @query(_TEST_LINES)
@@ -315,12 +306,12 @@ def src_libtest_json(spark, d):
 
 @query(_TEST_LINES)
 def src_pytest(spark, d):
-    return test_output.parse(_runs(spark, d, F.concat(_case(), F.lit(" "), _status("PASSED", "FAILED", "SKIPPED"))), "pytest").select("run_id", "name", "status")
+    return test_output.parse(_framed(_runs(spark, d, F.concat(_case(), F.lit(" "), _status("PASSED", "FAILED", "SKIPPED"))), "============================= test session starts ==============================", "========================= 1 passed in 0.10s =========================")).select("run_id", "name", "status")
 
 
 @query(_TEST_LINES)
 def src_gotest(spark, d):
-    return test_output.parse(_runs(spark, d, F.concat(F.lit("--- "), _status("PASS", "FAIL", "SKIP"), F.lit(": "), _case(), F.lit(" (0.00s)"))), "gotest").select("run_id", "name", "status")
+    return test_output.parse(_framed(_runs(spark, d, F.concat(F.lit("--- "), _status("PASS", "FAIL", "SKIP"), F.lit(": "), _case(), F.lit(" (0.00s)"))), "=== RUN   TestAll", "ok  \tpkg\t0.010s")).select("run_id", "name", "status")
 
 
 @query(_TEST_LINES)
@@ -336,7 +327,21 @@ def src_tap(spark, d):
 
 @query(_TEST_LINES)
 def src_jest(spark, d):
-    return test_output.parse(_runs(spark, d, F.concat(F.lit("  "), _status("✓ ", "✕ ", "○ skipped "), _case())), "jest").select("run_id", "name", "status")
+    return test_output.parse(_framed(_runs(spark, d, F.concat(F.lit("  "), _status("✓ ", "✕ ", "○ skipped "), _case())), "PASS src/a.test.js", "Tests:       1 passed, 1 total")).select("run_id", "name", "status")
+
+
+@query(_TEST_LINES)
+def src_flutter(spark, d):
+    """Running totals of passed, failed and skipped before each name; the format is detected."""
+    from pyspark.sql.window import Window
+
+    o = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("run_id"), "o_orderkey", "o_orderstatus")
+    w = Window.partitionBy("run_id").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    sums = [F.sum(F.when(F.col("o_orderstatus") == s, 1).otherwise(0)).over(w) for s in "OFP"]
+    line = F.concat(F.lit("00:01 +"), sums[0], F.lit(" -"), sums[1], F.lit(" ~"), sums[2], F.lit(": "), _case())
+    o = o.withColumn("line", line)
+    runs = o.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    return test_output.parse(runs).select("run_id", "name", "status")
 
 
 @query(_TEST_LINES)
@@ -367,9 +372,13 @@ def nq_discourse(spark, d):
     return prose.discourse(_sentences(spark, d)).select("doc_id", "sent", "connective", "relation", "confidence")
 
 
-@query(_LINES + "SELECT doc_id, 1 AS paragraphs, count(*) AS sentences FROM s GROUP BY doc_id")
+@query("SELECT o_custkey AS doc_id, count(DISTINCT o_orderpriority) AS paragraphs, count(*) AS sentences, 3 * count(*) AS words FROM orders GROUP BY o_custkey")
 def nq_statistics(spark, d):
-    return prose.statistics(_sentences(spark, d)).select("doc_id", "paragraphs", "sentences")
+    """A customer's orders as sentences, in paragraphs by priority."""
+    o = table(spark, d, "orders").select("o_custkey", F.concat(F.lit("Order "), "o_orderkey", F.lit(" came.")).alias("s"), "o_orderpriority")
+    paras = o.groupBy("o_custkey", "o_orderpriority").agg(F.array_join(F.array_sort(F.collect_list("s")), " ").alias("p"))
+    docs = paras.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list("p")), "\n\n").alias("text"))
+    return prose.statistics(prose.plain_sentences(docs)).select("doc_id", "paragraphs", "sentences", "words")
 
 
 @query("""WITH w AS (SELECT a.doc_id AS x, b.doc_id AS y, list_distinct(string_split(a.text, ' ')) AS p, list_distinct(string_split(b.text, ' ')) AS q FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
@@ -379,9 +388,12 @@ def nq_jaccard(spark, d):
     return t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v")), "doc_id").select("doc_id", F.round(prose.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\b(shall|must|required)\\b') THEN 'mandatory' WHEN regexp_matches(lower(text), '\\bshould\\b') THEN 'recommended' ELSE 'optional' END AS strength FROM documents WHERE regexp_matches(lower(text), '\\b(shall|must|required|should|may)\\b')")
+@query("SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'mandatory' WHEN 'O' THEN 'recommended' ELSE 'optional' END AS strength FROM orders WHERE o_orderpriority <> '1-URGENT'")
 def nq_requirements(spark, d):
-    return prose.requirements(table(spark, d, "documents").select("doc_id", F.lit(0).alias("sent"), "text")).select("doc_id", "strength")
+    """Orders as requirements: their status says how strong, and the urgent ones say nothing that binds."""
+    word = F.when(F.col("o_orderpriority") == "1-URGENT", "mustard").when(F.col("o_orderstatus") == "F", "MUST").when(F.col("o_orderstatus") == "O", "should").otherwise("may")
+    text = F.concat(F.lit("Order "), "o_orderkey", F.lit(" "), word, F.lit(" leave."))
+    return prose.requirements(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("sent"), text.alias("text"))).select("doc_id", "strength")
 
 
 def _deeds(spark: SparkSession, d: str) -> DataFrame:

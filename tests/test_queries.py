@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from tessella import queries, queries_text  # noqa: F401  queries_text registers into queries
+from tessella import queries, queries_more, queries_text, queries_tree  # noqa: F401  they register into queries
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
