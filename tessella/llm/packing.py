@@ -106,11 +106,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, sentence
     Tokens are words (runs without white space). A sentence ends with a word that ends in . ! or ?,
     before a line feed, and with its document; one longer than the capacity is cut to parts of it,
     and only there a cut costs hard_penalty. padding is what its window lacks to the capacity.
-    Texts that are null or have no word are in no window. Rows with a null doc_id form a block of
-    their own; rows that share a doc_id stand next to each other, shorter first, and each is packed.
-    An empty table gives no rows; other columns are ignored."""
+    Texts that are null or have no word are in no window. Rows with a null doc_id form blocks of
+    their own, below 0, by a hash of their text, as many as blocks of ids would be; rows that share a doc_id stand next to each other, shorter first, and each is packed.
+    Of equal costs the longest window wins. A very long text takes as many windows as it needs. An empty table gives no rows; other columns are ignored."""
     docs = ensure_columns(docs, doc_id="bigint", text="string")
     starts = block_starts(docs, block)
+    unnamed = docs.where("doc_id is null").agg(F.count("*")).first()[0]
+    buckets = max(1, -(-unnamed // block))
+    docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(buckets))))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -122,7 +125,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, sentence
             keep = pa.array(count > 0)
             ids = b.column("doc_id")
             at = np.searchsorted(starts, ids.fill_null(0).to_numpy(zero_copy_only=False), "right") - 1
-            out = pa.RecordBatch.from_arrays([pa.array(at, pa.int64(), mask=ids.is_null().to_numpy(zero_copy_only=False)), ids, pa.array(words.count, pa.int64()), pa.array(blobs, pa.binary())], ["block", "doc_id", "n", "units"])
+            at = np.where(ids.is_null().to_numpy(zero_copy_only=False), b.column("bucket").fill_null(0).to_numpy(zero_copy_only=False), at)
+            out = pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), ids, pa.array(words.count, pa.int64()), pa.array(blobs, pa.binary())], ["block", "doc_id", "n", "units"])
             yield out.filter(keep)
 
     def windows(group: pa.Table) -> pa.Table:
