@@ -30,11 +30,11 @@ def line_scores(line: Column) -> dict[str, Column]:
         "junit": points(5, t.rlike("^<testsuites?\\b")) + points(3, t.contains("</testcase>") | t.contains("<testcase ")),
         "libtest_json": points(3, t.rlike(r'^\{.*"type"\s*:\s*"(suite|test)"')),
         "gotest_json": points(3, t.startswith("{") & t.contains('"Action"') & t.contains('"Test"')),
-        "tap": points(3, t.rlike("^(not )?ok ")) + points(2, t.rlike(r"^1\.\.\d*$")),
+        "tap": points(3, t.rlike("^(not )?ok (?! \t)")) + points(2, t.rlike(r"^1\.\.\d*$")),
         "libtest": points(3, t.rlike("^(test result:|running )")) + points(2, t.rlike(r"^test .*\.\.\. (ok|FAILED|ignored)$")),
         "pytest": points(3, t.contains("::") & t.rlike("PASSED|FAILED|ERROR")) + points(2, t.startswith("=") & t.rlike("passed|failed|error")),
         "jest": points(3, t.startswith("Tests:") & t.rlike("passed|failed")) + points(2, t.rlike("^(PASS|FAIL) ")),
-        "gotest": points(3, t.rlike("^--- (FAIL|PASS):")) + points(2, t.rlike("^(FAIL|ok  )\t")),
+        "gotest": points(3, t.rlike("^--- (FAIL|PASS|SKIP):")) + points(2, t.rlike("^(FAIL|ok  )\t")),
         "flutter": points(1, t.rlike(r"^\d{2}:\d{2} \+\d+( -\d+)?( ~\d+)?: ")),
     }
 

@@ -267,6 +267,16 @@ def test_test_output(spark):
     assert found["libtest"][0].suite == "my_crate" and found["jest"][0].duration_ms == 2 and found["junit"][0].name == "c::a" and found["gotest"][0].suite == "example.com/m"
 
 
+def test_go_runs_without_a_pass_or_failure(spark):
+    """Go's line of a package begins with ok, as a TAP result does; a skipped test tells the format too."""
+    skips = "=== RUN   TestA\n--- SKIP: TestA (0.00s)\n"
+    texts = {"package": skips + "PASS\nok  \texample.com/m\t0.010s", "cut": skips, "quiet": "ok  \texample.com/m\t0.010s\nok  \texample.com/n\t(cached)"}
+    runs = spark.createDataFrame([*texts.items(), ("tap", "ok 1 - adds\nok 2")], "run_id string, content string")
+    assert {tuple(r) for r in test_output.detect(runs).collect()} == {(k, "tap" if k == "tap" else "gotest") for k in [*texts, "tap"]}
+    found = {(r.run_id, r.name, r.status, r.suite) for r in test_output.parse(runs).collect()}
+    assert found == {("package", "TestA", "skipped", "example.com/m"), ("cut", "TestA", "skipped", None), ("tap", "adds", "passed", None), ("tap", "test 2", "passed", None)}
+
+
 def test_reports(spark):
     rows = [("1", 0, "a", "passed"), ("1", 1, "b", "failed"), ("1", 2, "c", "failed"), ("2", 0, "a", "failed"), ("2", 1, "b", "failed"), ("2", 2, "d", "failed"), ("2", 3, "c", "skipped")]
     df = spark.createDataFrame(rows, "run_id string, ord int, name string, status string").withColumns({"duration_ms": F.lit(None).cast("bigint"), "message": F.lit("m"), "suite": F.lit(None).cast("string")})

@@ -66,3 +66,14 @@ def test_skeleton_queries_return_what_they_are_named_after(spark):
     assert got["aq_signatures"].columns == ["tree_id", "node_id", "type", "name", "params", "return_type", "line", "lines"]
     assert got["aq_parse_metrics"].columns == ["tree_id", "named", "errors", "missing", "confidence"]
     assert got["aq_skeleton"].count() == spark.read.parquet(f"{FOLDER}/pages.parquet").where("html is not null").count()
+
+
+def test_go_months_with_skips_only(spark, tmp_path):
+    """Months whose orders are all pending: Go runs without a pass or failure."""
+    spark.read.parquet(f"{FOLDER}/orders.parquet").where("o_orderstatus = 'P'").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE["src_gotest"])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES["src_gotest"](spark, str(tmp_path))
+    assert table(got.columns, [tuple(r) for r in got.collect()]) == table(columns, want.fetchall())
