@@ -90,11 +90,12 @@ def budget_rows(rows: DataFrame, tokens: int, order: list[str], mode: str = "sto
         from pyspark.sql.window import Window
 
         cost = F.expr("octet_length(json) div 4 + 1")
-        lines = rows.select(*order, text.alias("json")).withColumn("cost", cost)
-        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        lines = lines.withColumn("used", F.sum("cost").over(w)).withColumn("before", F.col("used") - F.col("cost"))
-        kept = lines.where((F.col("used") <= tokens) | (F.col("before") == 0)).select("json")
-        count = lines.agg(F.count("*").alias("total"), F.count(F.when((F.col("used") <= tokens) | (F.col("before") == 0), 1)).alias("shown"))
+        # a row costs a token at least, so what is kept is among the first `tokens` rows: tasks find them, only they are summed up in one
+        first = rows.select(*order, text.alias("json")).orderBy(*order, "json").limit(max(1, tokens)).withColumn("cost", cost)
+        w = Window.orderBy(*order, "json").rowsBetween(Window.unboundedPreceding, 0)
+        used = first.withColumn("used", F.sum("cost").over(w)).withColumn("before", F.col("used") - F.col("cost"))
+        kept = used.where((F.col("used") <= tokens) | (F.col("before") == 0)).select("json")
+        count = rows.agg(F.count("*").alias("total")).crossJoin(kept.agg(F.count("*").alias("shown")))
         note = count.where("shown < total").select(F.to_json(F.struct(F.lit(True).alias("_truncated"), "shown", "total")).alias("json"))
         return kept.unionAll(note)
     out, used, left, spark = [], 0, 0, rows.sparkSession
