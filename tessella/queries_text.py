@@ -276,13 +276,16 @@ _TEST_LINES = """SELECT strftime(o_orderdate, '%Y-%m') AS run_id, 't::case_' ||
 
 
 def _runs(spark: SparkSession, d: str, line) -> DataFrame:
-    o = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("run_id"), "o_orderkey", line.alias("line"))
-    return o.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    """Lines (run_id, ord, line): a run a month, an order a line."""
+    return table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("run_id"), F.col("o_orderkey").alias("ord"), line.alias("line"))
 
 
 def _framed(runs: DataFrame, head: str, tail: str) -> DataFrame:
     """Runs between the lines that a runner prints first and last; so their format is detected."""
-    return runs.withColumn("content", F.concat(F.lit(head + "\n"), "content", F.lit("\n" + tail)))
+    ends = runs.select("run_id").distinct()
+    for at, line in ((-(2**63), head), (2**63 - 1, tail)):
+        runs = runs.unionAll(ends.select("run_id", F.lit(at).cast("bigint"), F.lit(line)))
+    return runs
 
 
 def _status(ok, bad, skip):
@@ -295,39 +298,39 @@ def _case():
 
 @query(_TEST_LINES)
 def src_libtest(spark, d):
-    return test_output.parse(_framed(_runs(spark, d, F.concat(F.lit("test "), _case(), F.lit(" ... "), _status("ok", "FAILED", "ignored"))), "running 2 tests", "test result: ok. 1 passed; 0 failed; 0 ignored")).select("run_id", "name", "status")
+    return test_output.parse_lines(_framed(_runs(spark, d, F.concat(F.lit("test "), _case(), F.lit(" ... "), _status("ok", "FAILED", "ignored"))), "running 2 tests", "test result: ok. 1 passed; 0 failed; 0 ignored")).select("run_id", "name", "status")
 
 
 @query(_TEST_LINES)
 def src_libtest_json(spark, d):
     line = F.to_json(F.struct(F.lit("test").alias("type"), _status("ok", "failed", "ignored").alias("event"), _case().alias("name")))
-    return test_output.parse(_runs(spark, d, line)).select("run_id", "name", "status")
+    return test_output.parse_lines(_runs(spark, d, line)).select("run_id", "name", "status")
 
 
 @query(_TEST_LINES)
 def src_pytest(spark, d):
-    return test_output.parse(_framed(_runs(spark, d, F.concat(_case(), F.lit(" "), _status("PASSED", "FAILED", "SKIPPED"))), "============================= test session starts ==============================", "========================= 1 passed in 0.10s =========================")).select("run_id", "name", "status")
+    return test_output.parse_lines(_framed(_runs(spark, d, F.concat(_case(), F.lit(" "), _status("PASSED", "FAILED", "SKIPPED"))), "============================= test session starts ==============================", "========================= 1 passed in 0.10s =========================")).select("run_id", "name", "status")
 
 
 @query(_TEST_LINES)
 def src_gotest(spark, d):
-    return test_output.parse(_framed(_runs(spark, d, F.concat(F.lit("--- "), _status("PASS", "FAIL", "SKIP"), F.lit(": "), _case(), F.lit(" (0.00s)"))), "=== RUN   TestAll", "ok  \tpkg\t0.010s")).select("run_id", "name", "status")
+    return test_output.parse_lines(_framed(_runs(spark, d, F.concat(F.lit("--- "), _status("PASS", "FAIL", "SKIP"), F.lit(": "), _case(), F.lit(" (0.00s)"))), "=== RUN   TestAll", "ok  \tpkg\t0.010s")).select("run_id", "name", "status")
 
 
 @query(_TEST_LINES)
 def src_gotest_json(spark, d):
     line = F.to_json(F.struct(_status("pass", "fail", "skip").alias("Action"), F.lit("p").alias("Package"), _case().alias("Test"), F.lit(0.5).alias("Elapsed")))
-    return test_output.parse(_runs(spark, d, line)).select("run_id", "name", "status")
+    return test_output.parse_lines(_runs(spark, d, line)).select("run_id", "name", "status")
 
 
 @query(_TEST_LINES)
 def src_tap(spark, d):
-    return test_output.parse(_runs(spark, d, F.concat(_status("ok", "not ok", "ok"), F.lit(" 1 - "), _case(), _status("", "", " # SKIP slow")))).select("run_id", "name", "status")
+    return test_output.parse_lines(_runs(spark, d, F.concat(_status("ok", "not ok", "ok"), F.lit(" 1 - "), _case(), _status("", "", " # SKIP slow")))).select("run_id", "name", "status")
 
 
 @query(_TEST_LINES)
 def src_jest(spark, d):
-    return test_output.parse(_framed(_runs(spark, d, F.concat(F.lit("  "), _status("✓ ", "✕ ", "○ skipped "), _case())), "PASS src/a.test.js", "Tests:       1 passed, 1 total")).select("run_id", "name", "status")
+    return test_output.parse_lines(_framed(_runs(spark, d, F.concat(F.lit("  "), _status("✓ ", "✕ ", "○ skipped "), _case())), "PASS src/a.test.js", "Tests:       1 passed, 1 total")).select("run_id", "name", "status")
 
 
 @query(_TEST_LINES)
@@ -339,16 +342,13 @@ def src_flutter(spark, d):
     w = Window.partitionBy("run_id").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     sums = [F.sum(F.when(F.col("o_orderstatus") == s, 1).otherwise(0)).over(w) for s in "OFP"]
     line = F.concat(F.lit("00:01 +"), sums[0], F.lit(" -"), sums[1], F.lit(" ~"), sums[2], F.lit(": "), _case())
-    o = o.withColumn("line", line)
-    runs = o.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "\n").alias("content"))
-    return test_output.parse(runs).select("run_id", "name", "status")
+    return test_output.parse_lines(o.select("run_id", F.col("o_orderkey").alias("ord"), line.alias("line"))).select("run_id", "name", "status")
 
 
 @query(_TEST_LINES)
 def src_junit(spark, d):
     case = F.concat(F.lit('<testcase classname="t" name="case_'), "o_orderkey", F.lit('" time="0.1">'), _status("", '<failure message="no"/>', "<skipped/>"), F.lit("</testcase>"))
-    runs = _runs(spark, d, case).withColumn("content", F.concat(F.lit('<testsuite name="s">\n'), "content", F.lit("\n</testsuite>")))
-    return test_output.parse(runs).select("run_id", "name", "status")
+    return test_output.parse_lines(_framed(_runs(spark, d, case), '<testsuite name="s">', "</testsuite>")).select("run_id", "name", "status")
 
 
 # Prose: the lines of documents as sentences
