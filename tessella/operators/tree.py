@@ -16,10 +16,9 @@ from __future__ import annotations
 import ast
 import json
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +34,8 @@ NODES = (
 DEEP = 8  # levels of a tree that one plan holds
 BLOCK = 4096  # node ids that share a key where intervals are joined
 NAMES = [x.split()[0] for x in NODES.split(", ")]
+BATCH = 1024  # nodes that leave Python together
+_ARROW = pa.schema([(n, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[t]) for n, t in (x.split() for x in NODES.split(", "))])
 
 
 # Building: any parser of texts that gives Nodes
@@ -219,24 +220,34 @@ def language_of(path: str) -> str | None:
     return LANGUAGES.get(name.rsplit(".", 1)[-1].lower()) if "." in name else None
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
+
+def _built(batches: Iterable[pa.RecordBatch], language: str | None = None, size: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """Nodes of texts (path, content), `size` rows at a time; one text's tree is held at once."""
+    rows: list[tuple] = []
+    for b in batches:
+        for path, content in (x for k in range(0, b.num_rows, 16) for x in zip(*(b.slice(k, 16).column(c).to_pylist() for c in ("path", "content")))):
+            if content is None:
+                continue
+            maker = BUILDERS.get(language or language_of(path) or "", outline_tree)
+            try:
+                root = maker(content, path)
+            except (ValueError, SyntaxError, RecursionError) as e:
+                root = tq.Node("document", None, 1, content.count("\n") + 1, None, content, path, [tq.Node("error", str(e), file=path)])
+            rows += flatten(root, path)
+            whole = len(rows) - len(rows) % size
+            for k in range(0, whole, size):
+                yield _batch(rows[k : k + size])
+            del rows[:whole]
+    if rows:
+        yield _batch(rows)
+
+
 def build(docs: DataFrame, language: str | None = None) -> DataFrame:
     """The node table of texts (path, content). A text that its parser refuses is one error node."""
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"]):
-                if content is None:
-                    continue
-                maker = BUILDERS.get(language or language_of(path) or "", outline_tree)
-                try:
-                    root = maker(content, path)
-                except (ValueError, SyntaxError, RecursionError) as e:
-                    root = tq.Node("document", None, 1, content.count("\n") + 1, None, content, path, [tq.Node("error", str(e), file=path)])
-                rows += flatten(root, path)
-            yield pd.DataFrame(rows, columns=NAMES).astype({"parent_id": "Int64"})
-
-    return docs.select("path", "content").mapInPandas(run, NODES)
+    return docs.select("path", "content").mapInArrow(lambda batches: _built(batches, language), NODES)
 
 
 def parse_metrics(nodes: DataFrame) -> DataFrame:
