@@ -9,8 +9,12 @@ runs per document in Arrow batches; everything else is expressions and aggregati
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -311,8 +315,8 @@ def find_scenes(paras: list[dict], breaks: set[int]) -> list[dict]:
             names, places = union, places | set(p["places"])
     out = []
     for (s, signals), e in zip(starts, [s for s, _ in starts[1:]] + [len(paras)]):
-        here = [x for p in paras[s:e] for x in p["places"]]
-        place = min(set(here), key=lambda x: (-here.count(x), x)) if here else None
+        here = Counter(x for p in paras[s:e] for x in p["places"])
+        place = min(here, key=lambda x: (-here[x], x)) if here else None
         out.append({"start": s, "end": e - 1, "names": sorted({x for p in paras[s:e] for x in p["names"]}), "place": place, "signals": signals})
     return out
 
@@ -320,6 +324,24 @@ def find_scenes(paras: list[dict], breaks: set[int]) -> list[dict]:
 _SCENES = "doc_id string, scene int, start_para int, end_para int, place string, names array<string>, signals array<string>"
 
 
+_SCENES_ARROW = pa.schema([(n, {"int": pa.int32(), "string": pa.string()}.get(t, pa.list_(pa.string()))) for n, t in (x.split() for x in _SCENES.split(", "))])
+
+
+def _scenes(batches: Iterable[pa.RecordBatch], size: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Scenes of paragraphs sorted by document; one document is held at a time."""
+    rows = (r for b in batches for k in range(0, b.num_rows, 1024) for r in b.slice(k, 1024).to_pylist())
+    out: list[tuple] = []
+    for doc_id, own in groupby(rows, key=lambda r: r["doc_id"]):
+        paras = [{"para": r["para"], "b": r["__b"]} | {k: r[k] or [] for k in ("names", "places", "times")} for r in own]
+        found = find_scenes(paras, {i for i, p in enumerate(paras) if p["b"] is True})
+        out += [(str(doc_id), i, paras[s["start"]]["para"], paras[s["end"]]["para"], s["place"], s["names"], s["signals"]) for i, s in enumerate(found)]
+        for k in range(0, len(out) - len(out) % size, size):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + size]), _SCENES_ARROW)], schema=_SCENES_ARROW)
+        del out[: len(out) - len(out) % size]
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SCENES_ARROW)], schema=_SCENES_ARROW)
+
+
 def scenes(paras: DataFrame, relations: DataFrame | None = None) -> DataFrame:
     """Scenes of (doc_id, para, names, places, times), with discourse() of the same documents."""
     if relations is not None:
@@ -328,14 +350,9 @@ def scenes(paras: DataFrame, relations: DataFrame | None = None) -> DataFrame:
     else:
         paras = paras.withColumn("__b", F.lit(False))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("para").reset_index(drop=True)
-        rows = [{k: list(r[k]) if r[k] is not None else [] for k in ("names", "places", "times")} for r in g.to_dict("records")]
-        found = find_scenes(rows, {i for i, b in enumerate(g["__b"]) if b is True})
-        para = g["para"].tolist()
-        return pd.DataFrame([(str(g["doc_id"].iloc[0]), i, para[s["start"]], para[s["end"]], s["place"], s["names"], s["signals"]) for i, s in enumerate(found)], columns=[x.split()[0] for x in _SCENES.split(", ")])
-
-    return paras.groupBy("doc_id").applyInPandas(run, _SCENES)
+    # by a hash, as the text of an id stands for it; documents are many and short, so a task takes its own in one stream
+    placed = paras.select("doc_id", "para", "names", "places", "times", "__b").repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id", F.asc_nulls_last("para"))
+    return placed.mapInArrow(_scenes, _SCENES)
 
 
 def arcs(events: DataFrame) -> DataFrame:

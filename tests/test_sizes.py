@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import queries, queries_text  # noqa: F401  it registers into queries
-from tessella.operators import drain, relate, tree
+from tessella.operators import drain, prose, relate, tree
 from tessella.plans import tree_query as tq
 from tessella.sources import test_output
 
@@ -108,3 +108,26 @@ def test_budget_sums_up_only_what_can_be_kept(spark):
     assert "Limit" in out._jdf.queryExecution().optimizedPlan().toString()
     assert [r.json for r in relate.budget_rows(rows, 0, ["i"]).collect()] == ['{"i":0}', '{"_truncated":true,"shown":1,"total":5000}']
     assert relate.budget_rows(rows.limit(3), 1000, ["i"]).count() == 3
+
+
+def test_trees_leave_python_in_bounded_batches():
+    """Rows of many small texts and of one large text leave `size` at a time; none is lost."""
+    texts = ["<p>a</p>" * 3, None, "<p>b</p>" * 100, "<i>", "{"]
+    docs = pa.RecordBatch.from_pydict({"path": ["a.html", "b.html", "c.html", "d.html", "e.json"], "content": texts})
+    got = list(tree._built([docs, docs], size=50))
+    want = [x for p, t in zip(docs.column("path").to_pylist(), texts) if t is not None and p != "e.json" for x in tree.flatten(tree.html_tree(t, p), p)]
+    rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    assert [b.num_rows for b in got[:-1]] == [50] * (len(got) - 1) and rows[: len(want)] == want and len(rows) == 2 * (len(want) + 2)
+    assert [r[8] for r in rows[len(want) : len(want) + 2]] == ["document", "error"]
+
+
+def test_scenes_stream_documents(spark):
+    """No document is a call of its own; scenes leave in batches of bounded size."""
+    paras = [{"doc_id": f"d{i // 4}", "para": i % 4, "names": ["x"] if i % 2 else [], "places": None if i % 3 else [f"p{i}"], "times": None, "__b": False} for i in range(40)]
+    want = [(f"d{k}", i, s["start"], s["end"], s["place"], s["names"], s["signals"]) for k in range(10) for i, s in enumerate(prose.find_scenes([{c: r[c] or [] for c in ("names", "places", "times")} for r in paras[4 * k : 4 * k + 4]], set()))]
+    got = list(prose._scenes([pa.RecordBatch.from_pylist(paras[:17]), pa.RecordBatch.from_pylist(paras[17:])], size=7))
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want and max(b.num_rows for b in got) == 7
+    df = spark.createDataFrame([(r["doc_id"], r["para"], r["names"], r["places"], r["times"]) for r in paras], "doc_id string, para int, names array<string>, places array<string>, times array<string>")
+    out = prose.scenes(df)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, want))
