@@ -131,3 +131,25 @@ def test_scenes_stream_documents(spark):
     out = prose.scenes(df)
     assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
     assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, want))
+
+
+def test_small_trees_are_numbered_where_their_links_meet(spark, monkeypatch):
+    """As level by level, with one shuffle of the links; large trees and those with an id twice go level by level."""
+    r = random.Random(8)
+    rows = [(f"t{t}", f"n{i}", f"n{r.randint(0, i - 1)}" if i else None, None, "n", str(i), r.random()) for t in range(9) for i in range(r.randint(1, 12))]
+    rows += [("t0", "lost", "nowhere", None, "n", "x", 0.0), ("rootless", "a", "b", None, "n", "x", 0.0), ("twice", "r", None, None, "n", "x", 0.0), ("twice", "a", "r", "f", "n", "y", 0.1), ("twice", "a", "r", "f", "n", "z", 0.2)]
+    links = spark.createDataFrame(rows, "tree_id string, id string, parent string, field string, node_type string, text string, sort double")
+    monkeypatch.setattr(tree, "WHOLE", 10)
+    small = tree.number_trees(links.where("tree_id <> 'twice'"))
+    cells = lambda df: sorted(map(repr, (tuple(x) for x in df.select(*tree.NAMES).collect())))
+    assert cells(small) == cells(tree.number_nodes(links.where("tree_id <> 'twice'")))
+    assert cells(tree.number_trees(links)) == cells(tree.number_nodes(links))
+    one = [pa.RecordBatch.from_pylist([dict(zip(("tree_id", "id", "parent", "field", "node_type", "text"), x)) for x in sorted((x for x in rows if x[0] == t), key=lambda x: x[6])]) for t in ("t1", "twice")]
+    assert [x["node_id"] for b in tree._numbered(one) for x in b.to_pylist()][-1] is None
+
+
+def test_steps_from_roots_need_no_join(spark):
+    nodes = spark.createDataFrame([x for t in "ab" for x in tree.flatten(tq.Node("r", children=[tq.Node("x", children=[tq.Node("x")]), tq.Node("y")]), t)], tree.NODES)
+    for text, n in (("desc:x", 4), ("children", 4), ("desc(2)", 6), ("children:x", 2), ("desc", 6)):
+        out = tree.compile(text, nodes)
+        assert "Join" not in out._jdf.queryExecution().toString() and out.count() == n
